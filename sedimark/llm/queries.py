@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedimark.llm import chat, fingerprint
+from sedimark.llm import chat, fingerprint, simhash
 from sedimark.llm.common import table
 
 
@@ -23,8 +23,13 @@ def op2_document_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_versions(table(spark, sf_dir, "documents"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_document_fingerprint": op2_document_fingerprint,
+    "op3_simhash": op3_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
