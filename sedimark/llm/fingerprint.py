@@ -187,18 +187,27 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def with_next(docs: DataFrame, buckets: int = 512) -> DataFrame:
+def with_next(docs: DataFrame, bucket_rows: int = 500, most_buckets: int = 16_384) -> DataFrame:
     """doc_id, text, bucket, ordinal, next_text: the text of the next row in descending doc_id,
     after the last one the first. Rows are dealt out by quantiles of doc_id, and the first row
     of each bucket also stands at the end of the one before: one shuffle of the texts."""
-    spark = docs.sparkSession
     base = docs.select("doc_id", text_or_empty().alias("text"))
+    buckets = min(most_buckets, max(64, docs.count() // bucket_rows))
     cuts = base.agg(
         F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 20 * buckets)
     ).first()[0]
     cuts = sorted(set(cuts or []), reverse=True)
     # Bucket 0 holds the largest ids; null ids come last.
-    above = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c > F.col("doc_id"))) if cuts else F.lit(0)
+    wide = 128
+    parts = [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
+    if cuts:
+        # Two steps: among the first cuts of the parts, then within one part.
+        larger = lambda of: F.size(F.filter(of, lambda c: c > F.col("doc_id")))
+        part = larger(F.array(*(F.lit(p[0]) for p in parts)))
+        within = F.element_at(F.array(*(F.array(*map(F.lit, p)) for p in parts)), part)
+        above = F.when(part == 0, F.lit(0)).otherwise((part - 1) * wide + larger(within))
+    else:
+        above = F.lit(0)
     at = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(above)
     at = at.cast("int")
     heads = (

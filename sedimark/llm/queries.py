@@ -4,8 +4,9 @@ the same."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sedimark.llm import chat, fingerprint, simhash
+from sedimark.llm import chat, fingerprint, language, packing, simhash
 from sedimark.llm.common import table
 
 
@@ -27,9 +28,27 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_held_out(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_document_fingerprint": op2_document_fingerprint,
     "op3_simhash": op3_simhash,
+    "op5_packing": op5_packing,
+    "op8_language_id": op8_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
