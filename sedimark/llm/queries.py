@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimark.llm import chat, fingerprint, language, packing, simhash
+from sedimark.llm import chat, fingerprint, language, packing, quality, simhash
 from sedimark.llm.common import table
 
 
@@ -28,6 +28,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.weigh_and_sample(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -48,6 +54,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_document_fingerprint": op2_document_fingerprint,
     "op3_simhash": op3_simhash,
+    "op4_quality": op4_quality,
     "op5_packing": op5_packing,
     "op8_language_id": op8_language_id,
 }
