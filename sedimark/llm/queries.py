@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimark.llm import chat, fingerprint, language, packing, quality, simhash
+from sedimark.llm import chat, fingerprint, language, lm, mixing, packing, quality, simhash
 from sedimark.llm.common import table
 
 
@@ -46,16 +46,27 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_held_out(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_held_out(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mix(docs).drop("text")
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_document_fingerprint": op2_document_fingerprint,
     "op3_simhash": op3_simhash,
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
+    "op6_lm_score": op6_lm_score,
     "op8_language_id": op8_language_id,
+    "op9_mixing": op9_mixing,
 }
 ORACLE_SQL: dict[str, str] = {}
