@@ -1,8 +1,77 @@
-"""The corpus pipeline (work in progress)."""
+"""The corpus pipeline: documents in, packed token sequences out.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
+read again for the next one. All but the last return the columns of documents.
+
+1. quality: importance weights of hashed n-grams; documents whose weight, or whose n-grams that
+   good text avoids, are too low go.
+2. language: prediction by partial matching; documents without a letter or whose language is
+   uncertain go, a missing lang is filled in.
+3. near_duplicates: SimHash candidates checked on five-word shingles at a similarity of 0.8; the
+   smallest doc_id of each group stays. Documents without an id are not compared and stay.
+4. mixing: documents are drawn by probabilities raked to source, language and topic weights.
+5. packing: token ids end to end, cut every 2048.
+
+SQL can't express the models, so there is no ORACLE_SQL; tests hold the stages against brute
+force on small tables.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sedimark.llm import language, mixing, packing, quality, simhash
+from sedimark.llm.common import table, written
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ratios, thresholds = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return (
+        quality.weighed(docs, ratios).filter(quality.accepted(thresholds)).select(*docs.columns)
+    )
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = language.identify(docs, language.fit(docs))
+    sure = found.filter("lang_pred <> 'und' and score >= 0.5")
+    return sure.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    named = docs.filter("doc_id is not null")
+    kept = (
+        simhash.near_duplicates(named)
+        .filter("doc_id = component_id")
+        .select("doc_id")
+        .distinct()
+    )
+    first = named.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return first.unionByName(docs.filter("doc_id is null"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs, share=0.8).filter("mix_sampled").select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("language", language_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs)
+    return docs
