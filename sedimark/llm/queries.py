@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimark.llm import chat, fingerprint, language, lm, mixing, packing, quality, simhash
+from sedimark.llm import chat, fingerprint, html_main, language, lm, mixing, packing, quality, simhash
 from sedimark.llm.common import table
 
 
@@ -59,6 +59,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).drop("text")
 
 
+def op10_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_main.main_text(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_document_fingerprint": op2_document_fingerprint,
@@ -68,5 +73,6 @@ QUERIES = {
     "op6_lm_score": op6_lm_score,
     "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
+    "op10_html_main_text": op10_html_main_text,
 }
 ORACLE_SQL: dict[str, str] = {}
