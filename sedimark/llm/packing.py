@@ -119,7 +119,8 @@ def pack(
     totals = ids.groupBy("task").agg(F.sum("n").alias("total"))  # a row per task
     upto = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = totals.select("task", (F.sum("total").over(upto) - F.col("total")).alias("base"))
-    placed = ids.join(starts, "task").select(
+    # Two numbers for each task of the first pass: a few MB even for 100,000 tasks.
+    placed = ids.join(F.broadcast(starts), "task").select(
         "doc_id", (F.col("base") + F.col("before")).alias("place"), "n", "ids"
     )
     last = F.floor((F.col("place") + F.col("n") - 1) / length)
