@@ -15,7 +15,7 @@ score is the posterior of the predicted language, all languages alike beforehand
 code lengths over at most `evidence` symbols; without that every text of some length has score 1.
 
 Training reads whole texts of a sample: the `sample` documents of each language with the smallest
-hash, of those with at most `longest` characters. Everything else reads all documents.
+unsigned hash, of those with at most `longest` characters. Everything else reads all documents.
 
 Edge cases. Null text or text without a letter: `und`, score 0. Null lang: not learned from. No
 usable training text: everything is `und`. Ties of code length: the first name. Null doc_id:
@@ -106,8 +106,19 @@ def labelled_sample(docs: DataFrame, sample: int, longest: int) -> list[tuple[st
     usable = docs.filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= longest)
     )
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "text")
-    chosen = usable.select("lang", "text", F.row_number().over(order).alias("r"))
+    key = F.xxhash64("doc_id", F.lit(11))
+    counts = usable.groupBy("lang").count().collect()  # a row per language
+    if not counts:
+        return []
+    # Twice the wanted share of each language by hash, then exactly `sample` of these.
+    share = F.create_map(
+        *(x for r in counts for x in (F.lit(r.lang), F.lit(min(1.0, (2 * sample + 50) / r["count"]))))
+    )
+    some = usable.filter(
+        F.shiftrightunsigned(key, 11) / float(1 << 53) < F.element_at(share, F.col("lang"))
+    )
+    order = Window.partitionBy("lang").orderBy(F.shiftrightunsigned(key, 11), "doc_id", "text")
+    chosen = some.select("lang", "text", F.row_number().over(order).alias("r"))
     return [(r.lang, r.text) for r in chosen.filter(F.col("r") <= sample).collect()]
 
 
