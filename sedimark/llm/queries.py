@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimark.llm import chat, fingerprint, html_main, language, lm, mixing, packing, quality, simhash
+from sedimark.llm import chat, fingerprint, html_main, language, lm, media, mixing, packing, quality, simhash
 from sedimark.llm.common import table
 
 
@@ -50,6 +50,11 @@ def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_held_out(table(spark, sf_dir, "documents"))
 
 
+def op7_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test tables have no pictures; they are rendered from the vectors of embeddings."""
+    return media.find_edited(table(spark, sf_dir, "embeddings"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_held_out(table(spark, sf_dir, "documents"))
 
@@ -71,6 +76,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
     "op6_lm_score": op6_lm_score,
+    "op7_media_copies": op7_media_copies,
     "op8_language_id": op8_language_id,
     "op9_mixing": op9_mixing,
     "op10_html_main_text": op10_html_main_text,
