@@ -168,13 +168,14 @@ def license_origin(x: Column) -> Column:
 
 def pii(x: Column, kinds: tuple[str, ...] = tuple(PII_PATTERNS)) -> Column:
     """array of (kind, match), by kind, then in order of the text."""
-    found = [
-        F.transform(
-            F.regexp_extract_all(x, F.lit(PII_PATTERNS[k]), F.lit(0)),
-            lambda m, k=k: F.struct(F.lit(k).alias("kind"), m.alias("match")),
+
+    def matches(kind: str) -> Column:
+        return F.transform(
+            F.regexp_extract_all(x, F.lit(PII_PATTERNS[kind]), F.lit(0)),
+            lambda m: F.struct(F.lit(kind).alias("kind"), m.alias("match")),
         )
-        for k in kinds
-    ]
+
+    found = [matches(k) for k in kinds]
     return F.coalesce(F.concat(*found), F.array().cast("array<struct<kind:string,match:string>>"))
 
 

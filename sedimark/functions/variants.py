@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 from sedimark.functions.text import fold, tokens
 
 # Fixed values.
+COMPOUNDS = {
+    "Kündigungsfrist": "Kündigungsschutzklage",
+    "Mietkaution": "Maklerprovision",
+    "Krankmeldung": "Urlaubsantrag",
+    "Umsatzsteuer": "Einkommensteuer",
+    "Widerrufsrecht": "Gewährleistungsrecht",
+    "Nettokaltmiete": "Betriebskostenabrechnung",
+}
 TOGGLES = {
     "besteht ein": "besteht kein",
     "besteht eine": "besteht keine",
@@ -90,8 +98,12 @@ def number_and_unit(x: Column) -> Column:
     return _changed(x, F.coalesce(_first_swap(moved, UNITS, r"\b{}\b"), moved))
 
 
+def other_compound(x: Column) -> Column:
+    return _changed(x, _first_swap(x, COMPOUNDS, "(?iu){}"))
+
+
 def regional(x: Column) -> Column:
-    return _changed(x, _first_swap(x, REGIONAL, "(?i)(?u){}"))
+    return _changed(x, _first_swap(x, REGIONAL, "(?iu){}"))
 
 
 def wrong_sense(x: Column) -> Column:
@@ -173,6 +185,7 @@ def entity(x: Column) -> Column:
 
 
 HARD_NEGATIVES = {
+    "compound": other_compound,
     "negation": negation_toggle,
     "legal_ref": statute_shift,
     "dates_numbers": number_and_unit,
