@@ -81,4 +81,41 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_html_main_text": op10_html_main_text,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: The windows once more in SQL: prefix sums of tokens, slots, history and system turns.
+_CONTROL = (
+    r"[<\[]\\*(?:\|[A-Za-z0-9_]{1,64}\|>|/?s>|/?SYS>>|(?:bos|eos|pad|unk|start_of_turn|end_of_turn)>"
+    r"|/?(?:INST|AVAILABLE_TOOLS|TOOL_CALLS|TOOL_RESULTS|SYSTEM_PROMPT)\])"
+)
+_OP1 = f"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select * from (values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+), t0 as (
+  select *, ceil(strlen(text) / 4.0)::bigint + 4 as n, row_number() over w as idx,
+    length(role) + length(text) + len(regexp_extract_all(role, '{_CONTROL}')) + len(regexp_extract_all(text, '{_CONTROL}')) + 23 as chars
+  from c window w as (partition by conv_id order by turn, role, text)
+), t1 as (
+  select *, sum(n) over w as upto, first(case when idx = 1 and role = 'system' then n else 0 end) over w as sys
+  from t0 window w as (partition by conv_id order by idx rows unbounded preceding)
+), t2 as (select *, upto - n as before, greatest(floor(greatest(768 - sys, 256) / 2), 1) as width from t1
+), t as (select *, floor(before / width) as slot, (n > width)::int as alone from t2
+), h as (select conv_id, slot, alone, min(before) as start, min(idx) as first_turn from t group by all
+), shown as (
+  select conv_id, slot, alone, chars from t
+  union all
+  select h.conv_id, h.slot, h.alone, t.chars from h join t on t.conv_id = h.conv_id and t.upto <= h.start
+    and h.start - t.before <= 256 and t.n <= 256 and not (t.idx = 1 and t.role = 'system')
+  union all
+  select h.conv_id, h.slot, h.alone, t.chars from h join t on t.conv_id = h.conv_id and t.idx = 1
+    and t.role = 'system' and h.first_turn > 1
+), f as (select conv_id, sum(chars)::bigint as formatted_chars from shown group by 1
+), w as (select conv_id, count(*) as n_windows from h group by 1
+), a as (
+  select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by idx)) as turns_sha256,
+    coalesce(string_agg(text, '' order by idx) filter (where role = 'assistant'), '') as loss
+  from t group by 1
+)
+select conv_id, n_turns, turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, formatted_chars, n_windows
+from a join f using (conv_id) join w using (conv_id)
+"""
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": _OP1}
