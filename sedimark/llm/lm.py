@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -133,42 +134,62 @@ class Automaton:
         self.triples, self.triple_log = Lookup(keys), np.log10(p)
 
 
+class _Numbered(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        return n
+
+
 class Reader:
     """Texts as word numbers; words that the automaton doesn't keep are numbered from `rare` on,
-    for as long as the reader lasts."""
+    until the reader has seen too many words and starts anew, which it does between batches."""
 
-    def __init__(self, model: Automaton):
-        self.model = model
+    def __init__(self, model: Automaton, most: int = 400_000):
+        self.model, self.most = model, most
         self.known = Lookup(model.hashes)
         self.rare = len(model.hashes) + 2
         self.reset()
 
     def reset(self):
-        self.numbers: dict[bytes, int] = {}
-        self.rare_hashes: list[int] = []
+        self.seen = _Numbered()
+        self.number_of = np.zeros(0, np.int64)  # of seen words
+        self.rare_hashes = np.zeros(0, np.int64)
+
+    def _number_new(self) -> None:
+        fresh = list(islice(self.seen, len(self.number_of), None))
+        if not fresh:
+            return
+        hashes = np.array([_hash(w) for w in fresh], np.int64)
+        numbers = self.known(hashes).astype(np.int64)
+        rare = np.flatnonzero(numbers < 0)
+        numbers[rare] = self.rare + len(self.rare_hashes) + np.arange(len(rare))
+        self.number_of = np.concatenate([self.number_of, numbers])
+        self.rare_hashes = np.concatenate([self.rare_hashes, hashes[rare]])
+
+    def number(self, word: bytes) -> int:
+        self.seen[word]
+        self._number_new()
+        return int(self.number_of[self.seen[word]])
 
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers, place of each text's first): start, words, end of each text in turn."""
-        if len(self.numbers) > 600_000:
+        if len(self.seen) > self.most:
             self.reset()
-        numbers, out, places, at = self.numbers, [], [], 0
-        split = [words(t) for t in texts]
-        fresh = list({w for ws in split for w in ws if w not in numbers})
-        if fresh:
-            hashes = np.array([_hash(w) for w in fresh], np.int64)
-            for w, h, k in zip(fresh, hashes.tolist(), self.known(hashes).tolist()):
-                if k < 0:
-                    k = self.rare + len(self.rare_hashes)
-                    self.rare_hashes.append(h)
-                numbers[w] = k
-        end, start = self.model.end, self.model.end + 1
-        for ws in split:
-            places.append(at)
-            at += len(ws) + 2
-            out.append(start)
-            out.extend([numbers[w] for w in ws])
-            out.append(end)
-        return np.array(out, np.int64), np.array(places, np.int64)
+        look, read = self.seen.__getitem__, []
+        for t in texts:
+            ws = words(t)
+            read.append(np.fromiter(map(look, ws), np.int64, len(ws)))
+        self._number_new()
+        sizes = np.array([len(r) + 2 for r in read], np.int64)
+        places = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(read) else sizes
+        out = np.empty(int(sizes.sum()), np.int64)
+        for r, at in zip(read, places.tolist()):
+            out[at + 1 : at + 1 + len(r)] = self.number_of[r]
+        out[places] = self.model.end + 1
+        out[places + sizes - 1] = self.model.end
+        return out, places
 
     def steps(self, n: np.ndarray):
         """For each place: word before it, or -1 where a text starts or that word is rare; arc
@@ -249,7 +270,7 @@ def word_counts(train: DataFrame) -> DataFrame:
                 count.clear()
         yield rows(count)
 
-    arrow_limits(train.sparkSession)
+    arrow_limits(train.sparkSession, 1000, "16m")
     return written(
         train.select("text")
         .mapInArrow(run, "w bigint, c bigint")
@@ -305,7 +326,7 @@ def score(docs: DataFrame, model: Automaton, rare_words: DataFrame) -> DataFrame
             text = np.repeat(np.arange(len(places)), sizes)
             keys, tf = np.unique((text[rare] << 32) | (n[rare] - reader.rare), return_counts=True)
             cuts = np.searchsorted(keys >> 32, np.arange(len(places) + 1)).astype(np.int32)
-            hashes = np.array(reader.rare_hashes, np.int64)[keys & 0xFFFFFFFF]
+            hashes = reader.rare_hashes[keys & 0xFFFFFFFF]
             nested = lambda v, kind: pa.ListArray.from_arrays(pa.array(cuts), pa.array(v, kind))
             common = np.add.reduceat((~rare).astype(np.int64), places) - 1
             if not m.tokens:
@@ -327,7 +348,7 @@ def score(docs: DataFrame, model: Automaton, rare_words: DataFrame) -> DataFrame
             row += len(places)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    arrow_limits(docs.sparkSession)
+    arrow_limits(docs.sparkSession, 1000, "16m")
     parts = written(
         docs.select("doc_id", "held_out", "text").mapInArrow(
             run,

@@ -172,7 +172,7 @@ def test_lm_probabilities_sum_to_one(documents):
     words = [b"a", b"b", b"c", b"d"]
 
     def log_p(history, word):
-        n = np.array([model.end + 1, *(reader.numbers[w] for w in history), word])
+        n = np.array([model.end + 1, *map(reader.number, history), word])
         before, pair, earlier = reader.steps(n)
         i = len(n) - 1
         base = model.base_log[word] if word < reader.rare - 1 and word != model.end + 1 else -math.log10(model.tokens + model.distinct + 1)
@@ -188,7 +188,7 @@ def test_lm_probabilities_sum_to_one(documents):
 
     reader.texts(["a b c d"])
     for history in ([], [b"a"], [b"a", b"b"], [b"b", b"c"], [b"d", b"a", b"b"]):
-        options = [*(reader.numbers[w] for w in words), model.end, reader.rare]
+        options = [*map(reader.number, words), model.end, reader.rare]
         assert sum(10 ** log_p(history, w) for w in options) == pytest.approx(1, abs=1e-6)
 
 
