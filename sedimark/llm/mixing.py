@@ -134,23 +134,31 @@ def _rake_widely(cells: DataFrame, given, temper: float, share: float, rounds: i
     total = cells.agg(F.sum("tokens")).first()[0]
     budget = share * total
     state = cells.withColumn("w", F.col("tokens") / total)
-    for r in range(rounds):
+    for name in DIMENSIONS:
+        own = given.get(name)
+        if own is None:
+            goal = F.pow(F.sum("tokens"), temper)
+        else:
+            names = [x for kv in own.items() for x in (F.lit(kv[0]), F.lit(float(kv[1])))]
+            goal = F.coalesce(F.try_element_at(F.create_map(*names), F.col(name)), F.lit(0.0))
+        wanted = written(state.groupBy(name).agg(goal.alias(f"goal_{name}")))
+        whole = wanted.agg(F.sum(f"goal_{name}")).first()[0] or 1.0
+        share_of = wanted.select(name, (F.col(f"goal_{name}") / whole).alias(f"goal_{name}"))
+        state = state.join(share_of, name)
+    state = written(state)
+    for _ in range(rounds):
         for name in DIMENSIONS:
-            own = given.get(name)
-            if own is None:
-                goal = F.pow(F.sum("tokens"), temper)
-            else:
-                names = [x for kv in own.items() for x in (F.lit(kv[0]), F.lit(float(kv[1])))]
-                wanted = F.create_map(*names)[F.first(name)] if names else F.lit(0.0)
-                goal = F.coalesce(wanted, F.lit(0.0))
-            sums = state.groupBy(name).agg(F.sum("w").alias("now"), goal.alias("goal"))
-            whole = sums.filter("now > 0").agg(F.sum("goal").alias("whole"))
-            scale = sums.crossJoin(F.broadcast(whole)).select(  # one row
-                name, F.when(F.col("now") > 0, F.col("goal") / F.col("whole") / F.col("now")).otherwise(0).alias("scale")
-            )
-            state = state.join(scale, name).withColumn("w", F.col("w") * F.col("scale")).drop("scale")
-        if r % 5 == 4:
-            state = written(state)
+            now = state.groupBy(name).agg(F.sum("w").alias("now"))
+            scaled = F.when(F.col("now") > 0, F.col("w") * F.col(f"goal_{name}") / F.col("now"))
+            state = state.join(now, name).withColumn("moved", F.coalesce(scaled, F.lit(0.0)))
+            state = state.withColumn("off", F.abs(F.col("now") - F.col(f"goal_{name}")))
+            state = state.drop("now", "w").withColumnRenamed("moved", "w")
+            before = "most_off" if "most_off" in state.columns else "off"
+            state = state.withColumn("most_off", F.greatest(before, "off")).drop("off")
+        state = written(state)  # else the plan would double with each step
+        if (state.agg(F.max("most_off")).first()[0] or 0.0) < 1e-6:
+            break
+        state = state.drop("most_off")
     state = state.withColumn("p", F.lit(0.0))
     for _ in range(50):
         left, mass = state.agg(
