@@ -1,21 +1,22 @@
 """Language-model scores by a weighted backoff automaton.
 
-States are the empty history and the n-grams of one and two words that the model keeps. A state
-has an arc for each word that was kept behind it, with the discounted log-probability; a word
-without an arc takes the failure arc, with the state's backoff weight, to the state of the history
-without its first word, in the end to the empty one, where every word has its add-one
-probability. Backoff weights make the probabilities of each state sum to one, so scores are
-log-probabilities of texts. A text is read once from left to right.
-
-Kept. A word gets a state if it is at least a share `floor` of all training tokens, an n-gram if
-its count is at least that share of them and both n-grams one word shorter are kept. So there are
-at most 1 / floor words, two-word and three-word n-grams each, in a corpus of any size: the
-automaton has a proven size and is sent to every executor. Counts are exact and over the whole
-training part.
-
-All other words, each by definition rare, keep their exact counts in a table. What they add to a
-text is looked up by a shuffle join on the word; no key of it can be hot, as frequent words are in
-the automaton. Words are known by XXH64 in that table.
+States are the empty history, all training words, and all pairs of words that occur at least
+`MINIMUM` times. A state has an arc for each word that follows it at least `MINIMUM` times, with the
+discounted log-probability; a word without an arc takes the failure arc, with the state's backoff
+weight, to the state of the history without its first word, in the end to the empty one, where
+every word has its add-one probability. Backoff weights make the probabilities of each state sum
+to one, so scores are log-probabilities of texts. `MINIMUM` is the same for a corpus of any size:
+what the model gathers grows with the corpus.
+
+A text's score is a sum over its words, pairs and triples, as each kept n-gram has one addend: its
+gain over what its failure arc would give, and its own backoff weight, which every word behind it
+pays. So a text asks for its n-grams without an order.
+
+Cache. Words and n-grams of at least a share `FLOOR` of all training tokens, at most 1 / FLOOR of
+each length, are an automaton that is sent to every executor. All others have their addends in a
+table and are looked up by a shuffle join on the n-gram; no key of it can be hot, as frequent ones
+are in the automaton. The cache changes no score. Words are known by XXH64 in that table, pairs
+and triples by rotated hashes XORed. Counts are exact and over the whole training part.
 
 Tokens: A-Z lower-cased, runs of bytes other than ASCII white space, then one end.
 
@@ -39,9 +40,12 @@ from pyspark.sql import functions as F
 
 from sedimark.llm.common import arrow_limits, written
 
-FLOOR = 5e-7  # at most two million words and n-grams of each length
+FLOOR = 5e-7  # at most two million words and n-grams of each length in the cache
+MINIMUM = 2  # count from which an n-gram has an arc, in a corpus of any size
 DISCOUNT = 0.5
 _SHIFT = 21
+_END, _START = 0x2545F4914F6CDD1D, 0x1D8E4E27C47D124F  # in place of a hash
+_TURN_PAIR, _TURN_TRIPLE = 23, 17
 
 
 def words(text: str | None) -> list[bytes]:
@@ -53,6 +57,17 @@ def _hash(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _joined(a: np.ndarray, b: np.ndarray, turn: int) -> np.ndarray:
+    """The key of a pair from its words', of a triple from its pairs'."""
+    b = b.view(np.uint64)
+    return a ^ ((b << np.uint64(turn)) | (b >> np.uint64(64 - turn))).view(np.int64)
+
+
+def _joined_column(a: str, b: str, turn: int):
+    turned = F.shiftleft(b, turn).bitwiseOR(F.shiftrightunsigned(b, 64 - turn))
+    return F.col(a).bitwiseXOR(turned)
+
+
 class Lookup:
     """bigint -> position among the keys it was made of, -1 for others: open addressing."""
 
@@ -94,14 +109,13 @@ class Automaton:
     counts: np.ndarray  # of kept words, the end, the start
     tokens: int
     distinct: int
+    word_backoff: np.ndarray | None = None
     pairs: Lookup | None = None
-    pair_keys: np.ndarray | None = None
-    pair_counts: np.ndarray | None = None
     pair_log: np.ndarray | None = None
-    word_backoff: np.ndarray | None = None
+    pair_backoff: np.ndarray | None = None
     triples: Lookup | None = None
     triple_log: np.ndarray | None = None
-    pair_backoff: np.ndarray | None = None
+    complete: bool = True  # no pair or triple is kept elsewhere
 
     @property
     def end(self) -> int:
@@ -111,28 +125,6 @@ class Automaton:
     def base_log(self) -> np.ndarray:
         return np.log10((self.counts[:-1] + 1) / (self.tokens + self.distinct + 1))
 
-    def add_pairs(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        left, word = keys >> _SHIFT, keys & ((1 << _SHIFT) - 1)
-        p = (counts - DISCOUNT) / self.counts[left]
-        lower = 10 ** self.base_log[word]
-        n = len(self.counts)
-        kept = 1 - np.bincount(left, p, minlength=n)
-        rest = 1 - np.bincount(left, lower, minlength=n)
-        self.word_backoff = np.log10(np.maximum(kept, 1e-12) / np.maximum(rest, 1e-12))
-        self.pairs, self.pair_keys, self.pair_counts = Lookup(keys), keys, counts
-        self.pair_log = np.log10(p)
-
-    def add_triples(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        left, word = keys >> _SHIFT, keys & ((1 << _SHIFT) - 1)
-        p = (counts - DISCOUNT) / self.pair_counts[left]
-        second = self.pair_keys[left] & ((1 << _SHIFT) - 1)
-        lower = 10 ** self.pair_log[self.pairs((second << _SHIFT) | word)]
-        n = len(self.pair_counts)
-        kept = 1 - np.bincount(left, p, minlength=n)
-        rest = 1 - np.bincount(left, lower, minlength=n)
-        self.pair_backoff = np.log10(np.maximum(kept, 1e-12) / np.maximum(rest, 1e-12))
-        self.triples, self.triple_log = Lookup(keys), np.log10(p)
-
 
 class _Numbered(dict):
     """Numbers its keys in the order in which they are first asked for."""
@@ -207,48 +199,57 @@ class Reader:
         earlier[before < 0] = -1
         return before, pair, earlier
 
+    def grams(self, n: np.ndarray):
+        """For each place: the word's hash and the keys of the pair and the triple that end there;
+        whether these are whole."""
+        hashes = np.concatenate([self.model.hashes, [_END, _START], self.rare_hashes])[n]
+        pair, triple = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        pair[1:] = _joined(hashes[:-1], hashes[1:], _TURN_PAIR)
+        triple[1:] = _joined(pair[:-1], pair[1:], _TURN_TRIPLE)
+        two = n != self.model.end + 1
+        three = two.copy()
+        three[1:] &= two[:-1]
+        return hashes, pair, triple, two, three
 
-def _gather(train: DataFrame, model: Automaton, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts of the n-grams of two or three words to keep."""
-    shared = train.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        reader = Reader(shared.value)
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
+def gram_counts(train: DataFrame) -> DataFrame:
+    """size, a, b, c: the training count of each pair (words a and b) and triple (pairs a and b)
+    with at least MINIMUM, written."""
 
-        def merged():
-            keys, inverse = np.unique(np.concatenate([k for k, _ in kept]), return_inverse=True)
-            return keys, np.bincount(inverse, np.concatenate([c for _, c in kept])).astype(np.int64)
+    def run(batches):
+        reader = Reader(Automaton(np.zeros(0, np.int64), np.zeros(2, np.int64), 0, 0))
+        kept: list[tuple] = []
+
+        def counted():
+            for size in (2, 3):
+                keys, a, b = (np.concatenate(x) for x in zip(*(k[1:] for k in kept if k[0] == size)))
+                _, at, c = np.unique(keys, return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(at), size, np.int8)), pa.array(a[at]), pa.array(b[at]), pa.array(c)],
+                    ["size", "a", "b", "c"],
+                )
 
         for batch in batches:
             n, _ = reader.texts(batch.column(0).to_pylist())
-            before, pair, earlier = reader.steps(n)
-            if order == 2:
-                use = (before >= 0) & (n < reader.rare)
-                keys = (before[use] << _SHIFT) | n[use]
-            else:
-                use = (earlier >= 0) & (pair >= 0)
-                keys = (earlier[use] << _SHIFT) | n[use]
-            kept.append(np.unique(keys, return_counts=True))
-            if sum(len(k) for k, _ in kept) > 3_000_000:
-                kept = [merged()]
-                if len(kept[0][0]) > 2_000_000:
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, kept[0])], ["k", "c"])
-                    kept = []
+            if not len(n):
+                continue
+            hashes, pair, triple, two, three = reader.grams(n)
+            two, three = np.flatnonzero(two), np.flatnonzero(three)
+            kept.append((2, pair[two], hashes[two - 1], hashes[two]))
+            kept.append((3, triple[three], pair[three - 1], pair[three]))
+            if sum(len(k[1]) for k in kept) > 3_000_000:
+                yield from counted()
+                kept = []
         if kept:
-            yield pa.RecordBatch.from_arrays([*map(pa.array, merged())], ["k", "c"])
+            yield from counted()
 
-    found = (
+    return written(
         train.select("text")
-        .mapInArrow(run, "k bigint, c bigint")
-        .groupBy("k")
+        .mapInArrow(run, "size tinyint, a bigint, b bigint, c bigint")
+        .groupBy("size", "a", "b")
         .agg(F.sum("c").alias("c"))
-        .filter(F.col("c") >= max(2, int(np.ceil(FLOOR * model.tokens))))
-        .toArrow()  # at most 1 / FLOOR rows
+        .filter(F.col("c") >= MINIMUM)
     )
-    keys, counts = found.column("k").to_numpy(), found.column("c").to_numpy()
-    order_ = np.argsort(keys)
-    return keys[order_], counts[order_]
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -279,24 +280,103 @@ def word_counts(train: DataFrame) -> DataFrame:
     )
 
 
+def _backoff(kept, lower):
+    """log10 of a state's backoff weight from the probabilities of its arcs, and from what the
+    shorter history gives these; 0 without arcs."""
+    left = lambda x: F.greatest(1 - F.coalesce(x, F.lit(0.0)), F.lit(1e-12))
+    return F.log10(left(kept) / left(lower))
+
+
 def fit(train: DataFrame) -> tuple[Automaton, DataFrame]:
-    """The automaton, and the table of the words that it doesn't keep (w, c)."""
-    train = train.select("text")
+    """The automaton, and the table of what it doesn't keep: k, c (of words, else null), addend."""
+    spark, train = train.sparkSession, train.select("text")
     table = word_counts(train)
     texts = train.count()
     distinct, tokens = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
     distinct, tokens = distinct + (texts > 0), tokens + texts
-    enough = F.col("c") >= FLOOR * tokens
-    kept = table.filter(enough).orderBy("w").toArrow()  # at most 1 / FLOOR rows
-    counts = np.append(kept.column("c").to_numpy(), [texts, max(texts, 1)])
-    model = Automaton(kept.column("w").to_numpy(), counts, tokens, distinct)
-    if texts:
-        model.add_pairs(*_gather(train, model, 2))
-        model.add_triples(*_gather(train, model, 3))
-    return model, table.filter(~enough)
+    if not texts:
+        model = Automaton(np.zeros(0, np.int64), np.array([0, 1]), 0, 0)
+        return model, table.select(F.col("w").alias("k"), "c", F.lit(0.0).alias("addend"))
+    ends = spark.createDataFrame([(_END, texts), (_START, texts)], "w bigint, c bigint")
+    words = table.unionByName(ends)
+    special = F.col("w").isin(_END, _START)
+    frequent = special | (F.col("c") >= FLOOR * tokens)
+
+    def with_word(rows: DataFrame, own: DataFrame, on: str) -> DataFrame:
+        """Frequent words, at most 1 / FLOOR, are broadcast, as they would be hot keys."""
+        own = own.withColumnRenamed("w", on)
+        often = F.col("often")
+        return rows.join(F.broadcast(own.filter(often)), on).unionByName(rows.join(own.filter(~often), on)).drop("often")
+
+    grams = gram_counts(train)
+    p_word = (F.col("c") + 1) / float(tokens + distinct + 1)
+    bases = words.select("w", F.log10(p_word).alias("base"), frequent.alias("often"))
+    pairs = written(with_word(grams.filter("size = 2").drop("size"), bases, "b"))
+    arcs = pairs.groupBy(F.col("a").alias("w")).agg(
+        F.sum(F.col("c") - DISCOUNT).alias("arcs"), F.sum(F.pow(F.lit(10.0), "base")).alias("lower")
+    )
+    words = written(
+        words.join(arcs, "w", "left").select(
+            "w", "c", _backoff(F.col("arcs") / F.col("c"), F.col("lower")).alias("backoff"), frequent.alias("often")
+        )
+    )
+    histories = words.select("w", F.col("c").alias("of"), F.col("backoff").alias("before"), "often")
+    log = F.log10((F.col("c") - DISCOUNT) / F.col("of"))
+    pairs = written(
+        with_word(pairs, histories, "a")
+        .withColumn("log", log)
+        .select(
+            _joined_column("a", "b", _TURN_PAIR).alias("k"), "a", "b", "c", "log",
+            (F.col("log") - F.col("before") - F.col("base")).alias("gain"),
+        )
+    )
+    shorter = pairs.select(F.col("k").alias("b"), F.col("log").alias("lower"))
+    triples = written(grams.filter("size = 3").drop("size").join(shorter, "b"))
+    arcs = triples.groupBy(F.col("a").alias("k")).agg(
+        F.sum(F.col("c") - DISCOUNT).alias("arcs"), F.sum(F.pow(F.lit(10.0), "lower")).alias("lower")
+    )
+    pairs = written(
+        pairs.join(arcs, "k", "left").withColumn("backoff", _backoff(F.col("arcs") / F.col("c"), F.col("lower"))).drop("arcs", "lower")
+    )
+    histories = pairs.select(F.col("k").alias("a"), F.col("c").alias("of"), F.col("backoff").alias("before"))
+    triples = triples.join(histories, "a").withColumn("log", log)
+    triples = written(
+        triples.select(
+            _joined_column("a", "b", _TURN_TRIPLE).alias("k"), "a", "b", "c", "log",
+            (F.col("log") - F.col("before") - F.col("lower")).alias("gain"),
+        )
+    )
+
+    # The cache: at most 1 / FLOOR rows of each length.
+    floor = max(MINIMUM, int(np.ceil(FLOOR * tokens)))
+    column = lambda t, c: t.column(c).to_numpy()
+    own = words.filter("often").filter(~special).orderBy("w").select("w", "c", "backoff").toArrow()
+    start = words.filter(F.col("w") == _START).first().backoff
+    hashes = column(own, "w")
+    model = Automaton(hashes, np.append(column(own, "c"), [texts, texts]), tokens, distinct)
+    model.word_backoff = np.append(column(own, "backoff"), [0.0, start])
+    model.complete = floor <= MINIMUM
+    number = Lookup(np.append(hashes, [_END, _START]))
+    often = pairs.filter(F.col("c") >= floor).select("k", "a", "b", "log", "backoff").toArrow()
+    a, b = (number(column(often, x)).astype(np.int64) for x in ("a", "b"))
+    model.pairs = Lookup((a << _SHIFT) | b)
+    model.pair_log, model.pair_backoff = column(often, "log"), column(often, "backoff")
+    state = Lookup(column(often, "k"))
+    often = triples.filter(F.col("c") >= floor).select("a", "b", "log").toArrow()
+    first, second = (state(column(often, x)).astype(np.int64) for x in ("a", "b"))
+    model.triples = Lookup((first << _SHIFT) | b[second])
+    model.triple_log = column(often, "log")
+
+    seldom, no_count = F.col("c") < floor, F.lit(None).cast("long").alias("c")
+    rest = (
+        words.filter(~F.col("often")).select(F.col("w").alias("k"), "c", F.col("backoff").alias("addend"))
+        .unionByName(pairs.filter(seldom).select("k", no_count, (F.col("gain") + F.col("backoff")).alias("addend")))
+        .unionByName(triples.filter(seldom).select("k", no_count, F.col("gain").alias("addend")))
+    )
+    return model, rest
 
 
-def score(docs: DataFrame, model: Automaton, rare_words: DataFrame) -> DataFrame:
+def score(docs: DataFrame, model: Automaton, others: DataFrame) -> DataFrame:
     """doc_id and held_out as in docs, n_tokens, n_known, train_tokens, base_score, score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -310,16 +390,24 @@ def score(docs: DataFrame, model: Automaton, rare_words: DataFrame) -> DataFrame
             rare = n >= reader.rare
             own = np.where(rare, 0.0, base[np.where(rare, 0, n)])
             log = own.copy()
+            asked, asks = np.zeros(0, np.int64), np.zeros(0, np.int64)  # n-grams of others, places
             if m.pairs is not None:
                 known = before >= 0
                 log[known] += m.word_backoff[before[known]]
-                hit = pair >= 0
-                log[hit] = m.pair_log[pair[hit]]
-                longer = np.flatnonzero((earlier >= 0) & ~rare)
+                hit = np.flatnonzero(pair >= 0)
+                log[hit] = m.pair_log[pair[hit]] + m.pair_backoff[pair[hit]]
+                longer = np.flatnonzero((earlier >= 0) & (pair >= 0))
                 triple = m.triples((earlier[longer] << _SHIFT) | n[longer])
-                fails = np.flatnonzero(earlier >= 0)
-                log[fails] += m.pair_backoff[earlier[fails]]
-                log[longer[triple >= 0]] = m.triple_log[triple[triple >= 0]]
+                longer, triple = longer[triple >= 0], triple[triple >= 0]
+                log[longer] += m.triple_log[triple] - m.pair_log[pair[longer]] - m.pair_backoff[earlier[longer]]
+                if not m.complete and len(n):
+                    _, two_key, three_key, two, three = reader.grams(n)
+                    two &= pair < 0
+                    three[longer] = False
+                    asks = np.concatenate([np.flatnonzero(two), np.flatnonzero(three)])
+                    asked = np.concatenate([two_key[two], three_key[three]])
+                    order = np.argsort(asks, kind="stable")
+                    asks, asked = asks[order], asked[order]
             first = n == m.end + 1
             log[first] = own[first] = 0
             sizes = np.diff(np.append(places, len(n)))
@@ -327,7 +415,8 @@ def score(docs: DataFrame, model: Automaton, rare_words: DataFrame) -> DataFrame
             keys, tf = np.unique((text[rare] << 32) | (n[rare] - reader.rare), return_counts=True)
             cuts = np.searchsorted(keys >> 32, np.arange(len(places) + 1)).astype(np.int32)
             hashes = reader.rare_hashes[keys & 0xFFFFFFFF]
-            nested = lambda v, kind: pa.ListArray.from_arrays(pa.array(cuts), pa.array(v, kind))
+            gram_cuts = np.searchsorted(asks, np.append(places, len(n))).astype(np.int32)
+            nested = lambda at, v, kind: pa.ListArray.from_arrays(pa.array(at), pa.array(v, kind))
             common = np.add.reduceat((~rare).astype(np.int64), places) - 1
             if not m.tokens:
                 common[:] = 0  # nothing is known, not even the end
@@ -340,10 +429,11 @@ def score(docs: DataFrame, model: Automaton, rare_words: DataFrame) -> DataFrame
                     pa.array(common),
                     pa.array(np.add.reduceat(own, places)),
                     pa.array(np.add.reduceat(log, places)),
-                    nested(hashes, pa.int64()),
-                    nested(tf, pa.int32()),
+                    nested(cuts, hashes, pa.int64()),
+                    nested(cuts, tf, pa.int32()),
+                    nested(gram_cuts, asked, pa.int64()),
                 ],
-                ["doc_id", "held_out", "row", "n_tokens", "common", "base", "log", "w", "tf"],
+                ["doc_id", "held_out", "row", "n_tokens", "common", "base", "log", "w", "tf", "grams"],
             )
             row += len(places)
 
@@ -353,30 +443,44 @@ def score(docs: DataFrame, model: Automaton, rare_words: DataFrame) -> DataFrame
         docs.select("doc_id", "held_out", "text").mapInArrow(
             run,
             f"doc_id {kind}, held_out boolean, row bigint, n_tokens bigint, common bigint, "
-            "base double, log double, w array<bigint>, tf array<int>",
+            "base double, log double, w array<bigint>, tf array<int>, grams array<bigint>",
         )
     )
     log_one = F.log10(F.lit(float(model.tokens + model.distinct + 1)))
     c = F.coalesce("c", F.lit(0))
-    rest = (
-        parts.select("row", F.explode(F.arrays_zip("w", "tf")).alias("x"))
-        .select("row", "x.w", "x.tf")
-        .join(rare_words, "w", "left")
+    # Words say how often they occur; a pair or triple is there once for each time.
+    asked = parts.select("row", F.explode(F.arrays_zip("w", "tf")).alias("x")).select(
+        "row", F.col("x.w").alias("k"), "x.tf"
+    )
+    of_words = (
+        asked.join(others.filter("c is not null"), "k", "left")
         .groupBy("row")
         .agg(
             F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("seen"),
             F.sum(F.col("tf") * (F.log10(c + 1) - log_one)).alias("more"),
+            F.sum(F.col("tf") * F.coalesce("addend", F.lit(0.0))).alias("words_addend"),
         )
     )
+    rest = of_words.withColumn("grams_addend", F.lit(0.0))
+    if not model.complete:
+        of_grams = (
+            parts.select("row", F.explode("grams").alias("k"))
+            .join(others.filter("c is null").drop("c"), "k")
+            .groupBy("row")
+            .agg(F.sum("addend").alias("grams_addend"))
+        )
+        rest = of_words.join(of_grams, "row", "full")
     more = F.coalesce("more", F.lit(0.0))
-    return parts.drop("w", "tf").join(rest, "row", "left").select(
+    return parts.drop("w", "tf", "grams").join(rest, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("common") + F.coalesce("seen", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + more).alias("base_score"),
-        (F.col("log") + more).alias("score"),
+        (
+            F.col("log") + more + F.coalesce("words_addend", F.lit(0.0)) + F.coalesce("grams_addend", F.lit(0.0))
+        ).alias("score"),
     )
 
 

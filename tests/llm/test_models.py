@@ -192,6 +192,43 @@ def test_lm_probabilities_sum_to_one(documents):
         assert sum(10 ** log_p(history, w) for w in options) == pytest.approx(1, abs=1e-6)
 
 
+def test_lm_cache_changes_no_score(documents, odd_texts, monkeypatch):
+    """N-grams too rare for the cache keep their arcs and backoff weights: brute force over all
+    with a count of two, whatever share of the tokens that is."""
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, 30) % 60)) for i in range(20, 120)]
+    rows += [r for r in odd_texts if r[0] not in (8, None)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    read = lambda t: ["<s>", *lm.words(t), "</s>"]
+    count = Counter()
+    for i, t in rows:
+        w = read(t)
+        if not held(i):
+            count.update(tuple(w[j : j + k]) for k in (1, 2, 3) for j in range(len(w) - k + 1))
+    n = sum(c for g, c in count.items() if len(g) == 1 and g != ("<s>",))
+    v = sum(len(g) == 1 for g in count) - 1
+    arcs = {}
+    for g, c in count.items():
+        if len(g) > 1 and c >= 2:
+            arcs.setdefault(g[:-1], {})[g[-1]] = (c - lm.DISCOUNT) / count[g[:-1]]
+
+    def p(history, w):
+        if not history:
+            return (count[(w,)] + 1) / (n + v + 1)
+        own = arcs.get(history, {})
+        if w in own:
+            return own[w]
+        weight = (1 - sum(own.values())) / (1 - sum(p(history[1:], x) for x in own)) if own else 1
+        return weight * p(history[1:], w)
+
+    want = {i: sum(math.log10(p(tuple(w[max(0, j - 2) : j]), w[j])) for w in [read(t)] for j in range(1, len(w))) for i, t in rows}
+    for floor in (lm.FLOOR, 3 / n, 0.02, 1.0):
+        monkeypatch.setattr(lm, "FLOOR", floor)
+        got = lm.score_held_out(documents(rows)).collect()
+        for r in got:
+            assert r.score == pytest.approx(want[r.doc_id], abs=1e-6)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>no</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head><body>
 <nav class="menu"><ul><li><a href="/a">menu one</a></li><li><a href="/b">menu two</a></li></ul></nav><!-- <p>no</p> -->
 <div class="ad">buy this now.</div><article><h1>The &amp; title</h1><p><b>First</b>ly,  some   text here that goes on for a while.<br>next line
