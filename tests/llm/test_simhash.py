@@ -92,3 +92,22 @@ def test_near_duplicates_equal_brute_force(documents, odd_texts):
     sets = {i: set(simhash.shingle_hashes(simhash.words(t), 5, True).tolist()) for i, t in rows}
     alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
     assert got == brute_roots(sorted(sets), alike)
+
+
+def test_contiguous_changes_are_found(documents):
+    """Copies with text added, cut off or replaced in one piece, at similarities of 0.8 to 0.9."""
+    rng = np.random.default_rng(11)
+    new = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    rows, frame = [], new(8)
+    for i in range(0, 180, 2):
+        w = frame + new(int(rng.integers(60, 500)))
+        k = int(len(w) * rng.uniform(0.1, 0.24) * (0.5 if i % 6 == 4 else 1))
+        at = int(rng.integers(8, len(w) - k))
+        copy = [w + new(k), w[: len(w) - k], w[:at] + new(k) + w[at + k :]][i // 2 % 3]
+        rows += [(i, " ".join(w)), (i + 1, " ".join(copy))]
+    sets = {i: set(simhash.shingle_hashes(simhash.words(t), 5, True).tolist()) for i, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = brute_roots(sorted(sets), alike)
+    assert sum(i != r for i, r in want.items()) > 50
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(rows)).collect()}
+    assert got == want
