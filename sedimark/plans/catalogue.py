@@ -482,6 +482,11 @@ def _sides(spark, sf):
     )
 
 
+def _all_pairs(spark, sf):
+    d = _corpus(spark, sf)
+    return d.select(F.col("doc_id").alias("cand_id"), "text"), d.select(F.col("doc_id").alias("eval_id"), "text")
+
+
 @query(f"select a.doc_id cand_id, b.doc_id eval_id from documents a join documents b on {COLLAPSED.format(x='a.text')}={COLLAPSED.format(x='b.text')} where a.doc_id%2=0 and b.doc_id%2=1")
 def leakage_exact(spark, sf):
     """Even documents against odd ones: benchmark passages never are whole documents."""
@@ -510,10 +515,31 @@ def leakage_jaccard(spark, sf):
 
 @query()
 def leakage_lsh(spark, sf):
-    d = _corpus(spark, sf)
-    a = d.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("cand_id"), "text")
-    b = d.filter("doc_id % 2 = 1").select(F.col("doc_id").alias("eval_id"), "text")
-    return leakage.best_hits(leakage.near_duplicates(a, b, 0.9))
+    """The best hit of each document among those of larger id."""
+    return leakage.best_hits(leakage.near_duplicates(*_all_pairs(spark, sf), 0.9).filter("cand_id < eval_id"))
+
+
+@query(f"select a.doc_id cand_id, b.doc_id eval_id from documents a join documents b on {COLLAPSED.format(x='a.text')}={COLLAPSED.format(x='b.text')} where a.doc_id<b.doc_id")
+def leakage_exact_whole(spark, sf):
+    """All pairs of equal documents; leakage_exact has those of different parity."""
+    return leakage.exact(*_all_pairs(spark, sf)).filter("cand_id < eval_id")
+
+
+@query()
+def leakage_jaccard_whole(spark, sf):
+    """Token Jaccard of at least 0.6 between all documents; leakage_jaccard has those under 2,000
+    characters."""
+    return leakage.jaccard_pairs(*_all_pairs(spark, sf), 0.6).filter("cand_id < eval_id")
+
+
+@query()
+def leakage_jaccard_benchmark(spark, sf):
+    return leakage.jaccard_pairs(*_sides(spark, sf), 0.6)
+
+
+@query()
+def leakage_lsh_benchmark(spark, sf):
+    return leakage.best_hits(leakage.near_duplicates(*_sides(spark, sf), 0.9))
 
 
 _PII = {"email": r"[\w.+-]+@[\w-]+\.[A-Za-z]{2,}", "iban_de": r"\bDE\d{2}[ ]?(?:\d{4}[ ]?){4}\d{2}\b", "ipv4": r"\b(?:\d{1,3}\.){3}\d{1,3}\b"}

@@ -25,3 +25,30 @@ def test_query_equals_statement(spark, sf, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_leakage_is_over_whole_tables(spark, sf):
+    """Against brute force over all documents, and documents against the benchmark."""
+    from pyspark.sql import functions as F
+
+    from sedimark.functions import text as tx
+
+    found = entry.queries()
+    read = lambda name, key: {r[0]: (r[1], set(r[2])) for r in spark.read.parquet(f"{sf}/{name}.parquet").select(
+        key, tx.collapsed(F.col("text")), tx.tokens(F.coalesce("text", F.lit("")))
+    ).collect()}
+    docs, items = read("documents", "doc_id"), read("benchmark", "item_id")
+    pairs = [(a, b) for a in docs for b in docs if a < b]
+    ids = lambda name: {(r.cand_id, r.eval_id) for r in found[name](spark, sf).collect()}
+    same = {(a, b) for a, b in pairs if docs[a][0] is not None and docs[a][0] == docs[b][0]}
+    assert ids("leakage_exact_whole") == same and any((a - b) % 2 == 0 for a, b in same)
+
+    def alike(right, pairs):
+        shared = {(a, b): len(docs[a][1] & right[b][1]) for a, b in pairs}
+        return {(a, b) for (a, b), n in shared.items() if n and n >= 0.6 * (len(docs[a][1]) + len(right[b][1]) - n)}
+
+    assert ids("leakage_jaccard_whole") == alike(docs, pairs)
+    assert ids("leakage_jaccard_benchmark") == alike(items, [(a, b) for a in docs for b in items])
+    # Equal texts always block together, whatever their parity.
+    assert {a for a, _ in ids("leakage_lsh")} >= {a for a, _ in same if docs[a][1]}
+    assert found["leakage_lsh_benchmark"](spark, sf).columns == ["cand_id", "eval_id", "jaccard", "hamming"]
