@@ -289,6 +289,20 @@ def top50_miner(spark, sf):
     return records.per_group(mined, ["query_id", "pos_id"], ["rank", "doc_id"], 5).select("query_id", "pos_id", "doc_id", "rank")
 
 
+@query(f"""with {LISTS.replace('fs_rank<=20)', 'fs_rank<=200)')}, pos as (select query_id, doc_id pos_id, fs_rank pr, rr ps from lists where rel and fs_rank>50 and fs_rank<=200)
+select query_id, pos_id, doc_id, fs_rank as rank from (select pos.query_id, pos_id, l.doc_id, l.fs_rank, row_number() over (partition by pos.query_id, pos_id order by l.fs_rank, l.doc_id) nth
+from pos join lists l on l.query_id=pos.query_id and l.fs_rank<pr and l.doc_id<>pos_id where not l.rel and l.rr<ps-0.05) where nth<=20""")
+def top50_miner_200(spark, sf):
+    """Positives at ranks 51 to 200 of lists 200 deep; top50_miner has lists 20 deep."""
+    x = _lists(spark, sf, 200)
+    ranking = x.filter("not rel").select("query_id", "doc_id", F.col("fs_rank").alias("rank"))
+    pos = x.filter("rel").select("query_id", F.col("doc_id").alias("pos_id"), F.col("rr").alias("pos_score"))
+    both = x.select("query_id", "doc_id", F.col("fs_rank").alias("rank"))
+    scores = x.select("query_id", "doc_id", F.col("rr").alias("score"))
+    mined = lists.rank_window_negatives(both, pos, scores, 50, 200, 0.05, 10**6).join(ranking, ["query_id", "doc_id", "rank"], "left_semi")
+    return records.per_group(mined, ["query_id", "pos_id"], ["rank", "doc_id"], 20).select("query_id", "pos_id", "doc_id", "rank")
+
+
 # ---------------------------------------------------------------- training sets
 @query(f"with {LISTS} select query_id, doc_id, row_number() over (partition by query_id order by rr desc, doc_id) as teacher_rank, round(exp(rr)/sum(exp(rr)) over (partition by query_id),6) as target, case when rr>=0.4 then 1 when rr<=0.2 then 0 end as label from lists")
 def listwise_softmax(spark, sf):
@@ -703,8 +717,11 @@ def kmeans_fixed_init(spark, sf):
 
 
 def _parents(spark, sf):
-    v = _t(spark, sf, "embeddings").filter("vec_id < 300")
-    return v.select((F.col("vec_id") % 10).alias("key"), (F.col("vec_id") / 10).cast("int").alias("parent"), F.col("embedding").alias("vector"))
+    return _all_parents(spark, sf).filter("parent < 30")
+
+
+def _all_parents(spark, sf):
+    return _t(spark, sf, "embeddings").select((F.col("vec_id") % 10).alias("key"), (F.col("vec_id") / 10).cast("int").alias("parent"), F.col("embedding").alias("vector"))
 
 
 @query("select key, pos, round(avg(x),6) as v from (select vec_id%10 as key, unnest(embedding::DOUBLE[]) x, unnest(range(0,64)) pos from embeddings where vec_id<300) group by 1,2")
@@ -712,13 +729,19 @@ def merge_mean(spark, sf):
     return _cells(merging.mean(_parents(spark, sf)))
 
 
+@query("select key, pos, round(avg(x),6) as v from (select vec_id%10 as key, unnest(embedding::DOUBLE[]) x, unnest(range(0,64)) pos from embeddings) group by 1,2")
+def merge_mean_all(spark, sf):
+    """Over all embeddings; merge_mean has the first 300."""
+    return _cells(merging.mean(_all_parents(spark, sf)))
+
+
 def _cells(df):
     return df.select("key", F.posexplode("vector").alias("pos", "v")).select("key", F.col("pos").cast("long").alias("pos"), _r(F.col("v")).alias("v"))
 
 
 @query()
 def merge_ties(spark, sf):
-    p = _parents(spark, sf)
+    p = _all_parents(spark, sf)
     return _cells(merging.ties(p.filter("parent > 0"), p.filter("parent = 0").drop("parent"), 0.4))
 
 

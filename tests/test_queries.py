@@ -52,3 +52,20 @@ def test_leakage_is_over_whole_tables(spark, sf):
     # Equal texts always block together, whatever their parity.
     assert {a for a, _ in ids("leakage_lsh")} >= {a for a, _ in same if docs[a][1]}
     assert found["leakage_lsh_benchmark"](spark, sf).columns == ["cand_id", "eval_id", "jaccard", "hamming"]
+
+
+@pytest.mark.parametrize("name", ["top50_miner_200", "merge_mean_all"])
+def test_whole_job_equals_statement(spark, sf, name):
+    test_query_equals_statement(spark, sf, name)
+    if name == "top50_miner_200":
+        assert entry.queries()[name](spark, sf).count() > 0
+
+
+def test_merge_ties_reads_all_embeddings(spark, sf, monkeypatch):
+    from sedimark.plans import catalogue
+
+    seen = []
+    whole = catalogue.merging.ties
+    monkeypatch.setattr(catalogue.merging, "ties", lambda p, b, d: seen.append(p.count() + b.count()) or whole(p, b, d))
+    catalogue.merge_ties(spark, sf)
+    assert seen == [spark.read.parquet(f"{sf}/embeddings.parquet").count()]
