@@ -45,3 +45,16 @@ def test_peeling_recovers_the_difference(spark):
     ).first().p
     a, b = set(rows[3][1]), set(rows[3][2])
     assert peeled.ok and {(f.k, f.n) for f in peeled.found} == {(k, 1) for k in a - b} | {(k, -1) for k in b - a}
+
+
+def test_short_edited_texts_stay_near(documents):
+    """One line of 50 to 600 characters, the last third replaced, is nearer than another text."""
+    rows = []
+    for i in range(50, 601, 10):
+        text, n = "", 0
+        while len(text) < i:
+            text += hashlib.sha256(f"{i} {n}".encode()).hexdigest()[: 2 + (i + n) % 9] + " "
+            n += 1
+        rows.append((i, text[:i]))
+    got = fingerprint.compare_versions(documents(rows)).collect()
+    assert len(got) == len(rows) and all(r.near_edited > r.near_next for r in got)
