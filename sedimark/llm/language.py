@@ -6,16 +6,15 @@ different symbols has probability n / (t + d); the rest, d / (t + d), is the esc
 one byte shorter, in the end to a uniform choice. Statistics are frozen after training. A text's
 code length under a language is the sum of its symbols' code lengths; the shortest wins.
 
-Symbols are the bytes of the lower-cased text, every run of what isn't a letter or a byte of one
-being one space. The 39 most frequent bytes have symbols of their own; all others share the last
-one, plus the bits that tell them apart. So a tree is a table of 40 ** 4 code lengths for each
-language: its size is fixed, whatever the corpus, and it is sent to each executor.
+Symbols are the 256 bytes of the lower-cased text, every run of what isn't a letter or a byte of one
+being one space. Contexts are sparse tables of what the training sample has, so their size is bound
+by the sample, whatever the corpus, and they are sent to each executor.
 
 score is the posterior of the predicted language, all languages alike beforehand, given the mean
 code lengths over at most `evidence` symbols; without that every text of some length has score 1.
 
-Training reads whole texts of a sample: the `sample` documents of each language with the smallest
-unsigned hash, of those with at most `longest` characters. Everything else reads all documents.
+Training reads a sample: the `sample` documents of each language with the smallest unsigned hash, of
+each the first `longest` characters. Everything else reads all documents.
 
 Edge cases. Null text or text without a letter: `und`, score 0. Null lang: not learned from. No
 usable training text: everything is `und`. Ties of code length: the first name. Null doc_id:
@@ -33,7 +32,7 @@ from pyspark.sql import functions as F
 
 from sedimark.llm.common import arrow_limits
 
-SYMBOLS, DEPTH = 40, 3
+SYMBOLS, DEPTH = 256, 3
 _CLEAN = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 _RUNS = re.compile(rb" {2,}")
 _LETTER = re.compile(r"[^\W\d_]").search
@@ -50,46 +49,56 @@ class Trees:
     def __init__(self, texts: list[tuple[str, str]]):
         self.languages = sorted({lang for lang, _ in texts})
         raw = [(lang, normal(text)) for lang, text in texts]
-        seen = np.zeros(256, np.int64)
-        for _, t in raw:
-            seen += np.bincount(np.frombuffer(t, np.uint8), minlength=256)
-        frequent = np.argsort(-seen, kind="stable")[: SYMBOLS - 1]
-        self.symbol = np.full(256, SYMBOLS - 1, np.uint8)
-        self.symbol[frequent] = np.arange(SYMBOLS - 1, dtype=np.uint8)
-        self.space = int(self.symbol[0x20])
-        tables = []
-        for lang in self.languages:
-            counts = np.zeros(SYMBOLS ** (DEPTH + 1), np.int64)
-            for own, t in raw:
-                if own == lang:
-                    np.add.at(counts, self.windows(t), 1)
-            tables.append(self._code_lengths(counts))
-        self.bits = np.ascontiguousarray(np.stack(tables, 1)) if tables else None
+        windows = [np.concatenate([self.windows(t) for own, t in raw if own == lang]) for lang in self.languages]
+        # For each depth: keys of the known windows and their bits, keys of the known contexts and
+        # the bits of an escape, by language. All escapes are in a known window's bits.
+        self.levels = []
+        for depth in range(DEPTH + 1):
+            counted = [np.unique(w & ((1 << 8 * (depth + 1)) - 1), return_counts=True) for w in windows]
+            if not counted:
+                break
+            keys = np.unique(np.concatenate([k for k, _ in counted]))
+            if not len(keys):
+                break
+            contexts = np.unique(keys >> 8)
+            place = np.searchsorted(contexts, keys >> 8)
+            escapes, own = np.zeros((len(contexts), len(counted))), np.zeros((len(keys), len(counted)))
+            shorter = self._resolved(keys)
+            for i, (k, c) in enumerate(counted):
+                n = np.zeros(len(keys))
+                n[np.searchsorted(keys, k)] = c
+                t = np.bincount(place, n, len(contexts))
+                d = np.bincount(place, n > 0, len(contexts))
+                escapes[:, i] = np.log2(np.where(t > 0, (t + d) / np.maximum(d, 1), 1))
+                inside = np.log2(np.maximum((t + d)[place], 1) / np.maximum(n, 1))
+                own[:, i] = np.where(n > 0, inside, escapes[place, i] + shorter[:, i])
+            self.levels.append((keys, own, contexts, escapes))
 
     def windows(self, text: bytes) -> np.ndarray:
-        """For each symbol its number together with the three before it."""
-        s = np.empty(len(text) + DEPTH, np.int32)
-        s[:DEPTH] = self.space
-        s[DEPTH:] = self.symbol[np.frombuffer(text, np.uint8)]
+        """For each byte its number together with the three before it."""
+        s = np.full(len(text) + DEPTH, 0x20, np.int64)
+        s[DEPTH:] = np.frombuffer(text, np.uint8)
         at = s[: len(text)].copy()
         for i in range(1, DEPTH + 1):
-            at *= SYMBOLS
-            at += s[i : i + len(text)]
+            at = (at << 8) | s[i : i + len(text)]
         return at
 
-    @staticmethod
-    def _code_lengths(counts: np.ndarray) -> np.ndarray:
-        p = np.full(SYMBOLS, 1 / SYMBOLS)
-        for depth in range(DEPTH + 1):
-            n = counts.reshape(-1, SYMBOLS ** (depth + 1)).sum(0).reshape(-1, SYMBOLS)
-            t, d = n.sum(1, keepdims=True), (n > 0).sum(1, keepdims=True)
-            shorter = np.tile(p.reshape(-1, SYMBOLS), (len(n) * SYMBOLS // p.size, 1))
-            with np.errstate(invalid="ignore"):
-                own = np.where(n > 0, n / (t + d), d / (t + d) * shorter)
-            p = np.where(t > 0, own, shorter).ravel()
-        bits = -np.log2(p).reshape(-1, SYMBOLS)
-        bits[:, -1] += np.log2(256 - SYMBOLS + 1)  # which of the other bytes
-        return bits.ravel().astype(np.float32)
+    def _resolved(self, windows: np.ndarray) -> np.ndarray:
+        """Bits of each window's last byte under each language, by the levels that there are."""
+        out = np.zeros((len(windows), len(self.languages)))
+        left = np.arange(len(windows))
+        for depth in reversed(range(len(self.levels))):
+            keys, own, contexts, escapes = self.levels[depth]
+            w = windows[left] & ((1 << 8 * (depth + 1)) - 1)
+            at = np.minimum(np.searchsorted(keys, w), len(keys) - 1)
+            known = keys[at] == w
+            out[left[known]] += own[at[known]]
+            left, w = left[~known], w[~known] >> 8
+            at = np.minimum(np.searchsorted(contexts, w), len(contexts) - 1)
+            met = contexts[at] == w
+            out[left[met]] += escapes[at[met]]
+        out[left] += np.log2(SYMBOLS)
+        return out
 
     def code_lengths(self, text: bytes, chunk: int = 1 << 18) -> np.ndarray:
         """Bits under each language, over the whole text."""
@@ -97,15 +106,16 @@ class Trees:
         for i in range(0, len(text), chunk):
             back = min(i, DEPTH)
             at = self.windows(text[i - back : i + chunk])[back:]
-            total += self.bits[at].sum(0, dtype=np.float64)
+            different, n = np.unique(at, return_counts=True)
+            total += n @ self._resolved(different)
         return total
 
 
 def labelled_sample(docs: DataFrame, sample: int, longest: int) -> list[tuple[str, str]]:
     """(lang, text), at most `sample` for each language."""
     usable = docs.filter(
-        F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= longest)
-    )
+        F.col("lang").isNotNull() & F.col("text").isNotNull()
+    ).withColumn("text", F.substring("text", 1, longest))
     key = F.xxhash64("doc_id", F.lit(11))
     counts = usable.groupBy("lang").count().collect()  # a row per language
     if not counts:

@@ -303,3 +303,22 @@ def test_small_crops_of_large_images(spark):
             owed.add((i, i))
     assert len(owed) >= 5 and len(owed & got) >= 0.9 * len(owed)
     assert len(got - {(i, i) for i in range(6)}) <= 1
+
+
+def test_language_of_other_scripts_and_long_texts(documents):
+    """Languages of one script beside Latin ones, one of them with long documents only."""
+    rng = np.random.default_rng(13)
+    hi = "और यह है के में की से को पर इस का एक नहीं कर था हैं भी तो ही लिए"
+    mr = "आणि हे आहे च्या मध्ये ची ने ला वर या चा एक नाही करून होता आहेत सुद्धा तर साठी"
+    rows, langs = [], {}
+    for k, (lang, w) in enumerate({"en": EN, "de": DE, "hi": hi, "mr": mr}.items()):
+        for j, text in enumerate(_texts(rng, w, 80)):
+            i = 1000 * k + j
+            rows.append((i, " ".join([text] * 200) if lang == "mr" else text))
+            langs[i] = lang
+    assert min(len(t) for i, t in rows if langs[i] == "mr") > 1500
+    rows = [(i, (t * 4)[:9000] + " " + t if langs[i] == "mr" else t) for i, t in rows]
+    rows = [(i, t if langs[i] != "mr" or len(t) > 5000 else t * 4) for i, t in rows]
+    assert min(len(t) for i, t in rows if langs[i] == "mr") > 5000
+    got = [r for r in language.identify_held_out(documents(rows, langs)).collect() if r.held_out]
+    assert np.mean([r.lang_pred == langs[r.doc_id] for r in got]) > 0.95
