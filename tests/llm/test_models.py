@@ -257,54 +257,6 @@ def test_html_decisions_do_not_contradict():
     assert (kept == truth).mean() > 0.98
 
 
-def test_media(spark):
-    rng = np.random.default_rng(2)
-    vectors = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(120)] + [(500, None)], "vec_id long, embedding array<double>")
-    found = {r.vec_id: set(r.copy_ids) for r in media.find_edited(vectors).collect()}
-    assert set(found) == {0, 20, 40, 60, 80, 100, 500}
-    assert sum(i in c for i, c in found.items()) >= 6 and sum(map(len, found.values())) <= 9
-    # Recall of the tables against comparing all descriptors of queries and images.
-    images = media.rendered(vectors).filter("image is not null")
-    asked = media.rendered(vectors.filter("vec_id % 20 = 0"), edited=True).filter("image is not null")
-    d = {r.image_id: media.corners_of(media.decode(r.image), 10) for r in images.collect()}
-    hits = 0
-    for r in asked.collect():
-        q = np.array([c[4:] for c in media.corners_of(media.decode(r.image), 10)], np.int64)
-        own = np.array([c[4:] for c in d[r.image_id]], np.int64)
-        near = np.bitwise_count((q[:, None] ^ own[None]).view(np.uint64)).sum(2).min(1) <= 18
-        hits += near.sum() >= 4
-    assert sum(i in c for i, c in found.items()) >= 0.9 * hits
-    same = spark.createDataFrame([(1, b"junk"), (2, None), (3, media.encode(np.zeros((40, 40))))], "image_id long, image binary")
-    assert media.copies(same, same).count() == 0
-    one = images.limit(1).select("image_id", "image")
-    many = one.union(one.withColumn("image_id", F.lit(777)))
-    assert {r.image_id for r in media.copies(one, many).collect()} >= {777}
-
-
-def test_small_crops_of_large_images(spark):
-    """A tenth of the area of a large picture; recall against comparing all descriptors."""
-    rng = np.random.default_rng(12)
-    whole, parts = [], []
-    for i in range(6):
-        soft = media._box(rng.normal(0, 1, (320, 320)), 2)
-        a = 128 + 35 * soft / soft.std()
-        for y, x, h, w, g in rng.integers((0, 0, 8, 8, -60), (300, 300, 40, 40, 60), (60, 5)).tolist():
-            a[y : y + h, x : x + w] += g
-        y, x = rng.integers(0, 320 - 101, 2)
-        part = 0.9 * a[y : y + 101, x : x + 101] + 10 + rng.normal(0, 2, (101, 101))
-        whole.append((i, media.encode(np.clip(a, 0, 255))))
-        parts.append((i, media.encode(np.clip(part, 0, 255))))
-    kind = "image_id long, image binary"
-    got = {(r.query_id, r.image_id) for r in media.copies(spark.createDataFrame(parts, kind), spark.createDataFrame(whole, kind)).collect()}
-    owed = set()
-    for i, part in parts:
-        q, own = (np.array([c[4:] for c in media.corners_of(media.decode(x))], np.int64) for x in (part, whole[i][1]))
-        if (np.bitwise_count((q[:, None] ^ own[None]).view(np.uint64)).sum(2).min(1) <= 18).sum() >= 4:
-            owed.add((i, i))
-    assert len(owed) >= 5 and len(owed & got) >= 0.9 * len(owed)
-    assert len(got - {(i, i) for i in range(6)}) <= 1
-
-
 def test_language_of_other_scripts_and_long_texts(documents):
     """Languages of one script beside Latin ones, one of them with long documents only."""
     rng = np.random.default_rng(13)
