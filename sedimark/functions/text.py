@@ -10,22 +10,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values.
-MARKERS_DE = "der die das und ist nicht für mit ein eine den dem von zu auf wird werden".split()
-MARKERS_DE_FOLDED = (
-    "der das und nicht ein eine ist mit fuer von auf dem den des wird betraegt oder auch kein "
-    "keine muss darf bei fuers einen einer"
-).split()
-ALLOWED_LICENSES = "cc0-1.0 cc-by-4.0 cc-by-sa-4.0 apache-2.0 mit public-domain synthetic".split()
-NEGATIVE_TYPES = (
-    "compound negation legal_ref dates_numbers regional_variant entity_disambiguation "
-    "outcome_flip lexical random"
-).split()
+MARKERS_DE = [
+    "der", "die", "das", "und", "ist", "nicht", "für", "mit", "ein", "eine", "den", "dem", "von",
+    "zu", "auf", "wird", "werden",
+]
+MARKERS_DE_FOLDED = [
+    "der", "das", "und", "nicht", "ein", "eine", "ist", "mit", "fuer", "von", "auf", "dem", "den",
+    "des", "wird", "betraegt", "oder", "auch", "kein", "keine", "muss", "darf", "bei", "fuers",
+    "einen", "einer",
+]
+ALLOWED_LICENSES = [
+    "cc0-1.0", "cc-by-4.0", "cc-by-sa-4.0", "apache-2.0", "mit", "public-domain", "synthetic",
+]
+NEGATIVE_TYPES = [
+    "compound", "negation", "legal_ref", "dates_numbers", "regional_variant",
+    "entity_disambiguation", "outcome_flip", "lexical", "random",
+]
 PII_PATTERNS = {
     "email": r"[\w.+-]+@[\w-]+\.[A-Za-z]{2,}",
     "iban_de": r"\bDE\d{2}[ ]?(?:\d{4}[ ]?){4}\d{2}\b",
     "phone": r"(?<![\w.])(?:\+49|0049|0)[\d][\d /()-]{6,}\d",
     "ipv4": r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
 }
+#: White space of any script.
+SPACES = r"[\t\n\x0b\f\r\x1c-\x1f \x{85}\p{Z}]+"
 
 
 def _replaced(x: Column, pairs: dict[str, str]) -> Column:
@@ -72,7 +80,7 @@ def _unicode_form(x: Column, form: str) -> Column:
 
 def nfc_collapsed(x: Column) -> Column:
     """NFC, white space collapsed, case kept."""
-    return F.trim(F.regexp_replace(_unicode_form(x, "NFC"), r"\s+", " "))
+    return F.trim(F.regexp_replace(_unicode_form(x, "NFC"), SPACES, " "))
 
 
 def leakage_form(x: Column) -> Column:
@@ -82,13 +90,22 @@ def leakage_form(x: Column) -> Column:
     )
 
 
-def text_hash(x: Column, length: int = 16) -> Column:
+def raw_hash(x: Column, length: int = 16) -> Column:
+    """Of a text that is in normal form already."""
     return F.substring(F.sha2(x, 256), 1, length)
 
 
+def raw_pair(query: Column, document: Column) -> Column:
+    return F.concat(F.lit("p"), raw_hash(F.concat(raw_hash(query), F.lit("::"), raw_hash(document))))
+
+
+def text_hash(x: Column, length: int = 16) -> Column:
+    """Of the text in NFC with single spaces, so that spelling of the bytes doesn't count."""
+    return raw_hash(nfc_collapsed(x), length)
+
+
 def pair_id(query: Column, document: Column) -> Column:
-    both = F.concat(text_hash(query), F.lit("::"), text_hash(document))
-    return F.concat(F.lit("p"), text_hash(both))
+    return raw_pair(nfc_collapsed(F.coalesce(query, F.lit(""))), nfc_collapsed(F.coalesce(document, F.lit(""))))
 
 
 def hash60(x: Column) -> Column:
@@ -159,11 +176,11 @@ def is_unknown_license(x: Column, allowed: list[str] | None = None) -> Column:
 
 def license_is_uncertain(x: Column) -> Column:
     own = license_of(x)
-    return (own == "") | own.rlike("unknown|unclear|verify|todo|tbd|\\?")
+    return (own == "") | own.rlike("uncertain|unknown|verify|tbd|todo|\\?")
 
 
 def license_origin(x: Column) -> Column:
-    return F.when(license_of(x).contains("inherit"), "inherited").otherwise("source")
+    return F.when(license_of(x).contains("inherit"), "inherited").otherwise("manifest")
 
 
 def pii(x: Column, kinds: tuple[str, ...] = tuple(PII_PATTERNS)) -> Column:
@@ -205,10 +222,19 @@ def filled(template: Column, name: str, value: Column) -> Column:
 
 
 def token_class(x: Column, stopwords: list[str]) -> Column:
+    """Of a subword token in which U+2581 marks the start of a word: whitespace, punctuation,
+    stopword, subword (goes on with a word) or content."""
+    raw = F.trim(F.replace(x, F.lit("\u2581"), F.lit(" ")))
     return (
-        F.when(F.trim(x) == "", "whitespace")
-        .when(x.rlike(r"^[^\p{L}\p{N}]+$"), "punctuation")
-        .when(F.lower(F.trim(x)).isin(*stopwords), "stopword")
-        .when(x.startswith("##") | ~x.startswith(" "), "subword")
+        F.when(raw == "", "whitespace")
+        .when(raw.rlike(r"^[^\p{L}\p{N}]+$"), "punctuation")
+        .when(F.lower(raw).isin(*stopwords), "stopword")
+        .when(~x.startswith("\u2581"), "subword")
         .otherwise("content")
     )
+
+
+def noncontent_share(tokens_: Column, stopwords: list[str]) -> Column:
+    """Share of tokens that aren't content, 4 decimals; 0 without tokens."""
+    non = F.size(F.filter(tokens_, lambda t: token_class(t, stopwords) != "content"))
+    return F.when(F.size(tokens_) > 0, F.round(non / F.size(tokens_), 4)).otherwise(0.0)

@@ -42,7 +42,10 @@ OUTCOMES = {
     "verboten": "erlaubt",
 }
 ENTITIES = {"München": "Hamburg", "Berlin": "Köln", "Bayern": "Sachsen", "Hamburg": "München", "Köln": "Berlin"}
-NEGATABLE = "ist sind darf kann muss wird hat war".split()
+NEGATABLE = ["ist", "sind", "darf", "kann", "muss", "wird", "hat", "war"]
+NOT_TRUE = "Es trifft nicht zu, dass "
+YEAR = r"\b(1[89]\d{2}|20\d{2})\b"
+SECTION_SHIFT, PARAGRAPH_SHIFT, NUMBER_SHIFT = 30, 1, 16
 FORMAL = {"Sie": "du", "Ihnen": "dir", "Ihr": "dein"}
 INFORMAL = {"du": "Sie", "Du": "Sie", "dein": "Ihr", "Dein": "Ihr", "dich": "Sie", "dir": "Ihnen"}
 UMLAUTS = {"ä": "ae", "ö": "oe", "ü": "ue", "Ä": "Ae", "Ö": "Oe", "Ü": "Ue"}
@@ -84,17 +87,17 @@ def _shifted(x: Column, pattern: str, by: int, prefix: str = "") -> Column:
 
 def negation_toggle(x: Column) -> Column:
     swapped = _first_swap(x, TOGGLES, "(?i){}")
-    plain = F.concat(F.lit("Es trifft nicht zu, dass "), F.lower(F.substring(x, 1, 1)), F.substr(x, F.lit(2)))
+    plain = F.concat(F.lit(NOT_TRUE), F.lower(F.substring(x, 1, 1)), F.substr(x, F.lit(2)))
     return F.when(x != "", F.coalesce(_changed(x, swapped), _changed(x, plain)))
 
 
 def statute_shift(x: Column) -> Column:
-    section = _shifted(x, r"§\s*(\d+)", 30, "§ ")
-    return F.coalesce(_changed(x, section), _changed(x, _shifted(x, r"Abs\.\s*(\d+)", 1, "Abs. ")))
+    section = _shifted(x, r"§\s*(\d+)", SECTION_SHIFT, "§ ")
+    return F.coalesce(_changed(x, section), _changed(x, _shifted(x, r"Abs\.\s*(\d+)", PARAGRAPH_SHIFT, "Abs. ")))
 
 
 def number_and_unit(x: Column) -> Column:
-    moved = F.coalesce(_shifted(x, r"\b(\d+)\b", 16), x)
+    moved = F.coalesce(_shifted(x, r"\b(\d+)\b", NUMBER_SHIFT), x)
     return _changed(x, F.coalesce(_first_swap(moved, UNITS, r"\b{}\b"), moved))
 
 
@@ -173,7 +176,7 @@ def number_shift(x: Column) -> Column:
 
 
 def year_shift(x: Column) -> Column:
-    return _shifted(x, r"\b(1[89]\d{2}|20\d{2})\b", 1)
+    return _shifted(x, YEAR, 1)
 
 
 def section_shift(x: Column) -> Column:
@@ -212,12 +215,3 @@ def expanded(variants: dict[str, Column]) -> Column:
     """A generator: a row (variant, text) for each variant that applies."""
     each = F.array(*(F.struct(F.lit(n).alias("variant"), c.alias("text")) for n, c in variants.items()))
     return F.inline(F.filter(each, lambda v: v["text"].isNotNull()))
-
-
-def topic(x: Column, stop: list[str]) -> Column:
-    """The longest capitalised word that isn't a stop word, the first in a tie."""
-    words = F.filter(
-        F.regexp_extract_all(x, F.lit(r"(\p{Lu}[\p{L}\p{N}_]+)"), F.lit(1)), lambda w: ~F.lower(w).isin(*stop)
-    )
-    best = F.aggregate(words, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
-    return F.nullif(best, F.lit(""))

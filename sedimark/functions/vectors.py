@@ -85,3 +85,58 @@ def nearest_rank(sorted_values: Column, q: float) -> Column:
 
 def upper_median(sorted_values: Column) -> Column:
     return F.get(sorted_values, (F.size(sorted_values) / 2).cast("int"))
+
+
+def mean_pool(hidden: Column, mask: Column) -> Column:
+    """The mean of the token vectors (array of arrays) whose mask isn't 0; zeros if there are none."""
+    kept = F.filter(F.zip_with(hidden, mask, lambda h, m: F.when(m != 0, h)), lambda h: h.isNotNull())
+    zero = F.transform(F.get(hidden, F.lit(0)), lambda x: F.lit(0.0))
+    total = F.aggregate(kept, zero, lambda s, h: F.zip_with(s, h, lambda a, b: a + b.cast("double")))
+    return F.transform(total, lambda x: x / F.greatest(F.size(kept), F.lit(1)))
+
+
+def last_token_pool(hidden: Column, mask: Column) -> Column:
+    """The last token vector whose mask isn't 0; the last of all if there is none."""
+    kept = F.filter(F.zip_with(hidden, mask, lambda h, m: F.when(m != 0, h)), lambda h: h.isNotNull())
+    return F.coalesce(F.try_element_at(kept, F.lit(-1)), F.try_element_at(hidden, F.lit(-1)))
+
+
+def cls_pool(hidden: Column) -> Column:
+    return F.get(hidden, F.lit(0))
+
+
+def pool(strategy: str, hidden: Column, mask: Column) -> Column:
+    match strategy:
+        case "mean":
+            return mean_pool(hidden, mask)
+        case "eos" | "last":
+            return last_token_pool(hidden, mask)
+        case "cls":
+            return cls_pool(hidden)
+    raise ValueError(f"unknown pooling: {strategy}")
+
+
+def views(a: Column, dims: list[int]) -> Column:
+    """A map of each size to the vector cut to it and brought to unit length."""
+    return F.create_map(*(x for d in dims for x in (F.lit(d), unit(truncated(a, d)))))
+
+
+def centred_slice(a: Column, tau: int) -> Column:
+    """The middle 1 / tau of the components; tau is 1, 2, 4 or 8 and divides the size."""
+    if tau not in (1, 2, 4, 8):
+        raise ValueError(f"tau must be 1, 2, 4 or 8, not {tau}")
+    keep = (F.size(a) / tau).cast("int")
+    odd = F.raise_error(F.lit(f"size not divisible by {tau}")).cast("array<double>")
+    start = ((F.size(a) - keep) / 2).cast("int") + 1
+    return F.when(F.pmod(F.size(a), F.lit(tau)) != 0, odd).otherwise(F.transform(F.slice(a, start, keep), lambda x: x.cast("double")))
+
+
+def strict_softmax(a: Column, temperature: float) -> Column:
+    if temperature <= 0:
+        raise ValueError("temperature must be above 0")
+    return softmax(a, temperature)
+
+
+def log_sum_exp(a: Column) -> Column:
+    top = F.array_max(a)
+    return top + F.log(_sum(F.transform(a, lambda x: F.exp(x - top))))

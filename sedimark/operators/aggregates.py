@@ -1,13 +1,18 @@
 """Reports over teacher caches and sources: a single pass with GROUPING SETS wherever several
-groupings are asked for."""
+groupings are asked for.
+
+Edge cases. Null and empty keys are 'unknown'. Null scores aren't counted but as missing. Empty
+input: empty reports, or a row of zeros where a report is one row. Repeated rows count each.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimark.functions.text import unknown
 
+# Fixed values.
 THRESHOLDS = (-2.0, 0.0, 1.0, 2.0, 3.0, 4.0, 5.0)
 
 
@@ -88,6 +93,31 @@ def histogram(df: DataFrame, value: str, edges: list[float]) -> DataFrame:
 
 def upper_median(df: DataFrame, value: str, *by: str) -> DataFrame:
     """The element at n // 2 of the sorted values of each group (an interpolating median would
-    differ)."""
-    sorted_ = F.sort_array(F.collect_list(value))
-    return df.groupBy(*by).agg(F.get(sorted_, (F.count(value) / 2).cast("int")).alias("upper_median"))
+    differ), from counts by value: no group is gathered."""
+    from sedimark.operators.training import upper_medians
+
+    return upper_medians(df, value, list(by))
+
+
+def missing_report(df: DataFrame, fields: list[str]) -> DataFrame:
+    """field, missing (null or blank), with a last row 'any' for rows that miss one."""
+    blank = {f: F.trim(F.coalesce(F.col(f).cast("string"), F.lit(""))) == "" for f in fields}
+    some = F.lit(False)
+    for b in blank.values():
+        some = some | b
+    one = df.agg(*(F.count_if(b).alias(f"m{i}") for i, b in enumerate([*blank.values(), some])))
+    each = [F.struct(F.lit(f).alias("field"), F.col(f"m{i}").alias("missing")) for i, f in enumerate([*fields, "any"])]
+    return one.select(F.inline(F.array(*each)))
+
+
+def mix_report(df: DataFrame, domain: str, faq: str, order: str) -> DataFrame:
+    """domain, n, share, faq_share (of all rows), examples: three of each domain in order."""
+    w = Window.partitionBy(domain).orderBy(order)
+    first = df.withColumn("_nth", F.row_number().over(w)).filter("_nth <= 3").groupBy(domain).agg(F.array_sort(F.collect_list(F.struct("_nth", order))).alias("x"))
+    n = df.groupBy(domain).agg(F.count(F.lit(1)).alias("n"))
+    total = Window.partitionBy()
+    out = n.join(first, domain).withColumn("all", F.sum("n").over(total))
+    faqs = F.sum(F.when(F.col(domain) == faq, F.col("n")).otherwise(0)).over(total)
+    return out.select(
+        domain, "n", F.round(F.col("n") / F.col("all"), 4).alias("share"), F.round(faqs / F.col("all"), 4).alias("faq_share"), F.transform("x", lambda e: e[order]).alias("examples")
+    )

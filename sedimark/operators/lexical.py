@@ -1,9 +1,11 @@
 """BM25 in two variants and the hashing encoder.
 
-Only the corpus terms that some query asks for are counted: the corpus' tokens are joined to the
-distinct query terms before anything is shuffled by document, so what moves grows with the hits,
-not with the corpus. Statistics are a single row. Nothing is broadcast by hint; Spark sends the
-query terms to the executors itself where they are small.
+The corpus is tokenised once. Only the terms that some query asks for leave a row, so what moves
+grows with the hits, not with the corpus; statistics are a single row. Queries with more terms
+than can be sent along go through postings and a join.
+
+Edge cases. Null and empty texts have no term and count as documents of length 0. Repeated rows
+are documents each; ties go by doc_id. Empty corpus or queries: empty result.
 """
 
 from __future__ import annotations
@@ -13,45 +15,78 @@ from pyspark.sql import functions as F
 
 from sedimark.functions import text as tx
 from sedimark.functions.vectors import unit
+from sedimark.sources.scratch import written
 
 K1, B = 1.5, 0.75
+MOST_ASKED = 20_000  # terms of all queries, up to which they are sent along with the scan
 
 
-def postings(corpus: DataFrame, tokenize=tx.tokens_de, terms: DataFrame | None = None):
-    """(postings (term, doc_id, tf), docs (doc_id, len)); with terms (term), postings of these
-    only."""
-    toks = corpus.select("doc_id", tokenize(F.coalesce("text", F.lit(""))).alias("toks"))
-    docs = toks.select("doc_id", F.size("toks").alias("len"))
-    each = toks.select("doc_id", F.explode("toks").alias("term"))
-    if terms is not None:
-        each = each.join(terms.select("term").distinct(), "term", "left_semi")
-    return each.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf")), docs
+def postings(corpus: DataFrame, tokenize=tx.tokens_de) -> tuple[DataFrame, DataFrame]:
+    """(postings (term, doc_id, tf), docs (doc_id, len)) of the whole corpus."""
+    docs = written(corpus.select("doc_id", tokenize(F.coalesce("text", F.lit(""))).alias("toks")))
+    each = docs.select("doc_id", F.explode("toks").alias("term"))
+    return each.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf")), docs.select("doc_id", F.size("toks").alias("len"))
 
 
-def scores(corpus: DataFrame, queries: DataFrame, tokenize=tx.tokens_de, distinct_terms=True) -> DataFrame:
-    """query_id, doc_id, score of every document with a term of the query (query_id, query)."""
+def _asked(queries: DataFrame, tokenize, distinct_terms: bool) -> DataFrame:
     asked = queries.select("query_id", F.explode(tokenize(F.coalesce("query", F.lit("")))).alias("term"))
-    asked = asked.groupBy("query_id", "term").agg(
-        (F.lit(1) if distinct_terms else F.count(F.lit(1))).alias("weight")
-    )
-    found, docs = postings(corpus, tokenize, asked)
-    stats = docs.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.when(F.coalesce(F.avg("len"), F.lit(0.0)) == 0, 1.0).otherwise(F.avg("len")).alias("avgdl"),
-    )
+    return asked.groupBy("query_id", "term").agg((F.lit(1) if distinct_terms else F.count(F.lit(1))).alias("weight"))
+
+
+def _scored(asked: DataFrame, found: DataFrame, stats: DataFrame) -> DataFrame:
+    """found: (term, doc_id, tf, len) of the asked terms; stats: one row (n, avgdl)."""
     df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     return (
         asked.join(df, "term")
         .join(found, "term")
-        .join(docs, "doc_id")
         .crossJoin(F.broadcast(stats))  # one row
         .groupBy("query_id", "doc_id")
         .agg(F.round(F.sum(part * F.col("weight")), 6).alias("score"))
     )
 
 
+def _stats(docs: DataFrame) -> DataFrame:
+    mean = F.coalesce(F.sum("len") / F.sum("docs"), F.lit(0.0))
+    return docs.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n"), F.when(mean == 0, 1.0).otherwise(mean).alias("avgdl"))
+
+
+def scores(corpus: DataFrame, queries: DataFrame, tokenize=tx.tokens_de, distinct_terms=True) -> DataFrame:
+    """query_id, doc_id, score of every document with a term of the query (query_id, query). The
+    corpus is tokenised once: one table has, of each document that is hit, the counts of the asked
+    terms and its length, and of each task the sums for the statistics."""
+    asked = written(_asked(queries, tokenize, distinct_terms))
+    terms = asked.select("term").distinct().toArrow().column("term").to_pylist() if asked.count() <= MOST_ASKED else None
+    toks = tokenize(F.coalesce("text", F.lit("")))
+    if terms is None:
+        found, docs = postings(corpus, tokenize)
+        hits = found.join(asked.select("term").distinct(), "term", "left_semi").join(docs, "doc_id")
+        return _scored(asked, written(hits), _stats(docs.select("len", F.lit(1).alias("docs"))))
+    # The asked terms are few: a document's row keeps these only.
+    rows = corpus.select("doc_id", toks.alias("toks"))
+    own = F.filter("toks", lambda t: t.isin(*terms)) if terms else F.array().cast("array<string>")
+    every = written(rows.select("doc_id", F.size("toks").alias("len"), F.lit(1).alias("docs"), own.alias("hits")))
+    hits = every.select("doc_id", "len", F.explode("hits").alias("term")).groupBy("term", "doc_id", "len").agg(F.count(F.lit(1)).alias("tf"))
+    return _scored(asked, hits, _stats(every))
+
+
+def save_index(corpus: DataFrame, path: str, tokenize=tx.tokens_de) -> None:
+    """postings, docs and stats as tables; search_index needs no text again."""
+    found, docs = postings(corpus, tokenize)
+    found.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    docs.write.mode("overwrite").parquet(f"{path}/docs")
+    _stats(docs.select("len", F.lit(1).alias("docs"))).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def search_index(path: str, queries: DataFrame, k: int = 10, tokenize=tx.tokens_de) -> DataFrame:
+    """search with a saved index: postings are sorted by term, so a scan reads the asked ones."""
+    found, docs, stats = (queries.sparkSession.read.parquet(f"{path}/{t}") for t in ("postings", "docs", "stats"))
+    asked = _asked(queries, tokenize, True)
+    hits = found.join(asked.select("term").distinct(), "term", "left_semi").join(docs, "doc_id")
+    return best(_scored(asked, hits, stats), k)
+
+
 def best(scored: DataFrame, k: int, tie: str = "doc_id") -> DataFrame:
     """The k rows of each query by score, then the smaller tie column; rank from 1."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(tie))

@@ -2,6 +2,9 @@
 
 Contracts add an `errors` column (array of strings, empty if all is well) instead of raising.
 Order is always explicit: `first wins` needs the column that says what comes first.
+
+Edge cases. A null rule doesn't hold; null groups are a group; empty input gives an empty result;
+repeated rows count each; ties of an order go by the key.
 """
 
 from __future__ import annotations
@@ -95,11 +98,23 @@ def per_group(df: DataFrame, group: list, order: list, n: int) -> DataFrame:
 def sample_to_targets(df: DataFrame, group: str, targets: dict[str, int], key: str, seed: str = "0") -> DataFrame:
     """As many rows of each group as its target, in the order of a hash; groups without a target
     stay whole."""
-    mark = F.md5(F.concat(F.lit(seed), F.lit("|"), F.col(key).cast("string")))
-    w = Window.partitionBy(group).orderBy(mark, key)
-    goal = F.create_map(*(F.lit(x) for kv in targets.items() for x in kv)) if targets else None
-    wanted = F.try_element_at(goal, F.col(group)) if targets else F.lit(None).cast("int")
-    return df.withColumn("nth", F.row_number().over(w)).filter(wanted.isNull() | (F.col("nth") <= wanted))
+    if not targets:
+        return df
+    goal = F.create_map(*(F.lit(x) for kv in targets.items() for x in kv))
+    aimed = F.coalesce(F.col(group).isin(*targets), F.lit(False))
+    return df.filter(~aimed).unionByName(first_by_hash(df.filter(aimed), [F.col(group)], F.try_element_at(goal, F.col(group)), key, f"{seed}|"))
+
+
+def capped_lists(df: DataFrame, key: str, per_domain: int | None = None, per_source: int | None = None) -> DataFrame:
+    """Lists (domain, source) in hash order: at most per_domain of a domain, then at most per_source
+    of a source, domains in ascending order."""
+    out = df
+    if per_domain is not None:
+        out = first_by_hash(out, [tx.unknown(F.col("domain"))], F.lit(per_domain), key)
+    if per_source is not None:
+        w = Window.partitionBy(tx.unknown(F.col("source"))).orderBy(tx.unknown(F.col("domain")), F.md5(F.col(key).cast("string")), key)
+        out = out.withColumn("_nth", F.row_number().over(w)).filter(F.col("_nth") <= per_source).drop("_nth")
+    return out
 
 
 def round_robin(df: DataFrame, group: str, order: list, total: int) -> DataFrame:
@@ -119,15 +134,37 @@ def stride_sample(df: DataFrame, group: str, order: list, budget: int) -> DataFr
     return rows.filter((F.pmod("_at", "_stride") == 0) & (F.col("_at") / F.col("_stride") < budget)).drop("_stride", "_at")
 
 
+def first_by_hash(df: DataFrame, group: list, wanted: Column, key: str, seed: str = "") -> DataFrame:
+    """Of each group the first `wanted` rows in the order of a hash of key, then key. Of large groups
+    only rows near the edge are ordered: rows are counted by the first digits of the hash, whole
+    digits are kept or dropped, and what is in the edge's digit alone is sorted."""
+    mark = F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))
+    names = [f"_g{i}" for i in range(len(group))]
+    rows = df.withColumns({n: g for n, g in zip(names, group)} | {"_m": mark, "_w": wanted}).withColumn("_d", F.substring("_m", 1, 3))
+    digits = rows.groupBy(*names, "_d").agg(F.count(F.lit(1)).alias("_n"))  # at most 4096 rows a group
+    before = Window.partitionBy(*names).orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    starts = digits.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(*names, "_d", "_n", "_start")
+    same = [F.col(f"r.{n}").eqNullSafe(F.col(f"s.{n}")) for n in names]
+    on = F.col("r._d") == F.col("s._d")
+    for s in same:
+        on = on & s
+    j = rows.alias("r").join(starts.alias("s"), on).select("r.*", "s._n", "s._start")
+    whole = j.filter("_start + _n <= _w").select(*df.columns)
+    edge = j.filter("_start < _w and _start + _n > _w")
+    w = Window.partitionBy(*names).orderBy("_m", key)
+    part = edge.withColumn("_at", F.row_number().over(w) + F.col("_start")).filter("_at <= _w").select(*df.columns)
+    return whole.unionByName(part)
+
+
 def capped_share(df: DataFrame, flag: Column, cap: float, key: str) -> DataFrame:
     """All rows without the flag, and of those with it, in hash order, so many that their share
     is at most cap."""
-    marked = df.withColumn("_flag", F.coalesce(flag, F.lit(False)))
-    w = Window.partitionBy("_flag").orderBy(F.md5(F.col(key).cast("string")), key)
-    counts = marked.agg(F.count_if(~F.col("_flag")).alias("_plain"))
-    rows = marked.withColumn("_nth", F.row_number().over(w)).crossJoin(F.broadcast(counts))  # one row
-    keep = ~F.col("_flag") | (F.col("_nth") <= F.floor(F.col("_plain") * cap / (1 - cap)))
-    return rows.filter(keep).drop("_flag", "_nth", "_plain")
+    marked = F.coalesce(flag, F.lit(False))
+    plain = df.agg(F.count_if(~marked)).first()[0]
+    most = int(plain * cap / (1 - cap)) if cap < 1 else None
+    if most is None:
+        return df
+    return df.filter(~marked).unionByName(first_by_hash(df.filter(marked), [], F.lit(most), key))
 
 
 def largest_remainder(weights: DataFrame, key: str, weight: str, total: int) -> DataFrame:

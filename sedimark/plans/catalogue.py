@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sedimark.functions import text as tx
 from sedimark.functions import variants as vr
 from sedimark.functions import vectors as vx
-from sedimark.operators import aggregates, clustering, dense, fusion, leakage, lexical, lists, merging, metrics, records
+from sedimark.operators import aggregates, clustering, contracts, dense, fusion, gates, leakage, lexical, lists, merging, metrics, policies, records
 from sedimark.streaming import events as ev
 
 QUERIES: dict = {}
@@ -45,6 +45,7 @@ FOLD = "replace(replace(replace(replace(lower({x}),'ä','ae'),'ö','oe'),'ü','u
 TOKENS = "regexp_extract_all(" + FOLD + r", '[\p{{L}}\p{{N}}_§]+')"
 TOKENS_DE = "regexp_extract_all(replace(lower({x}),'ß','ss'), '[0-9a-zäöü]+')"
 COLLAPSED = r"trim(regexp_replace(lower({x}), '\s+', ' ', 'g'))"
+NFC = r"trim(regexp_replace(nfc_normalize({x}), '[\t\n\x{{0b}}\f\r\x{{1c}}-\x{{1f}} \x{{85}}\p{{Z}}]+', ' ', 'g'))"
 HASH60 = "('0x' || substr(md5({x}),1,15))::BIGINT"
 
 
@@ -276,24 +277,11 @@ def fn_veto_reasons(spark, sf):
     return x.filter("not rel").join(best, "query_id").groupBy(F.coalesce(why, F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""with {LISTS}, pos as (select query_id, doc_id pos_id, fs_rank pr, rr ps from lists where rel and fs_rank>3 and fs_rank<=15)
-select query_id, pos_id, doc_id, fs_rank as rank from (select pos.query_id, pos_id, l.doc_id, l.fs_rank, row_number() over (partition by pos.query_id, pos_id order by l.fs_rank, l.doc_id) nth
-from pos join lists l on l.query_id=pos.query_id and l.fs_rank<pr and l.doc_id<>pos_id where not l.rel and l.rr<ps-0.05) where nth<=5""")
-def top50_miner(spark, sf):
-    x = _lists(spark, sf)
-    ranking = x.filter("not rel").select("query_id", "doc_id", F.col("fs_rank").alias("rank"))
-    pos = x.filter("rel").select("query_id", F.col("doc_id").alias("pos_id"), F.col("rr").alias("pos_score"))
-    both = x.select("query_id", "doc_id", F.col("fs_rank").alias("rank"))
-    scores = x.select("query_id", "doc_id", F.col("rr").alias("score"))
-    mined = lists.rank_window_negatives(both, pos, scores, 3, 15, 0.05, 10**6).join(ranking, ["query_id", "doc_id", "rank"], "left_semi")
-    return records.per_group(mined, ["query_id", "pos_id"], ["rank", "doc_id"], 5).select("query_id", "pos_id", "doc_id", "rank")
-
-
 @query(f"""with {LISTS.replace('fs_rank<=20)', 'fs_rank<=200)')}, pos as (select query_id, doc_id pos_id, fs_rank pr, rr ps from lists where rel and fs_rank>50 and fs_rank<=200)
 select query_id, pos_id, doc_id, fs_rank as rank from (select pos.query_id, pos_id, l.doc_id, l.fs_rank, row_number() over (partition by pos.query_id, pos_id order by l.fs_rank, l.doc_id) nth
 from pos join lists l on l.query_id=pos.query_id and l.fs_rank<pr and l.doc_id<>pos_id where not l.rel and l.rr<ps-0.05) where nth<=20""")
 def top50_miner_200(spark, sf):
-    """Positives at ranks 51 to 200 of lists 200 deep; top50_miner has lists 20 deep."""
+    """Positives at ranks 51 to 200 of lists 200 deep."""
     x = _lists(spark, sf, 200)
     ranking = x.filter("not rel").select("query_id", "doc_id", F.col("fs_rank").alias("rank"))
     pos = x.filter("rel").select("query_id", F.col("doc_id").alias("pos_id"), F.col("rr").alias("pos_score"))
@@ -342,15 +330,32 @@ def first_stage_audit(spark, sf):
     return lists.audit(_lists(spark, sf))
 
 
-@query(f"with {HARD} select query_id, fs_ndcg, oracle_ndcg from hard where fs_ndcg>=0.95 and oracle_ndcg>=0.98")
+@query(f"""with {HARD}, l as (select query_id, count(*) n, count(distinct doc_id%3) s, bool_or(rel and fs_rank<=10) h from lists group by 1)
+select query_id, fs_ndcg, oracle_ndcg, n as candidates, s as sources from hard join l using(query_id) where fs_ndcg>=0.95 and oracle_ndcg>=0.98 and n>=20 and s>=1 and h""")
 def near_ceiling_set(spark, sf):
-    return lists.hardness(_lists(spark, sf)).filter("fs_ndcg >= 0.95 and oracle_ndcg >= 0.98").select("query_id", "fs_ndcg", "oracle_ndcg")
+    x = _lists(spark, sf)
+    per = x.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("candidates"), F.count_distinct(F.col("doc_id") % 3).alias("sources"), F.bool_or(F.col("rel") & (F.col("fs_rank") <= 10)).alias("hit10")
+    )
+    m = lists.hardness(x).join(per, "query_id")
+    return m.filter(contracts.near_ceiling(m)).select("query_id", "fs_ndcg", "oracle_ndcg", "candidates", "sources")
+
 
+_SOFT = "list_transform({a}, lambda x: exp(x-list_max({a}))/list_sum(list_transform({a}, lambda y: exp(y-list_max({a})))))"
+_ENTROPY = "round(-list_sum(list_transform(" + _SOFT + ", lambda p: p*ln(p+1e-12))),6)"
 
-@query(f"""with {LISTS}, f as (select query_id, list(fs order by fs_rank) fa, list(rr order by rr_rank) ra, max(abs(fs_rank-rr_rank)) d, max(case when fs_rank=1 then rr_rank-1 end) t, count(*) n from lists group by 1)
-select query_id, round(fa[1]-fa[2],6) as first_stage_top1_top2_gap, round(fa[1]-fa[5],6) as first_stage_top1_top5_gap, round(ra[1]-ra[2],6) as reranker_top1_top2_gap, d as max_rank_displacement, t as reranker_rank_of_first_stage_top1, n as num_candidates from f""")
+
+@query(f"""with {LISTS}, f as (select query_id, list(fs order by fs_rank) fa, list(rr order by rr_rank) ra, max(abs(fs_rank-rr_rank)) d, max(case when fs_rank=1 then rr_rank-1 end) t, count(*) n, count(distinct doc_id%3) s,
+ greatest(count(*) filter (where doc_id%3=0), count(*) filter (where doc_id%3=1), count(*) filter (where doc_id%3=2))/count(*) agree, count(*) filter (where doc_id%3=0) b, count(*) filter (where doc_id%3=1) v from lists group by 1)
+select query_id, round(fa[1],6) as first_stage_top1_score, round(fa[2],6) as first_stage_top2_score, round(fa[1]-fa[2],6) as first_stage_top1_top2_gap, round(fa[1]-fa[5],6) as first_stage_top1_top5_gap,
+ {_ENTROPY.format(a='fa')} as first_stage_score_entropy, round(agree,6) as candidate_source_agreement, case when b>0 and v>0 then 0.0 end as bm25_dense_agreement, round(ra[1],6) as reranker_top1_score, round(ra[2],6) as reranker_top2_score,
+ round(ra[1]-ra[2],6) as reranker_top1_top2_gap, {_ENTROPY.format(a='ra')} as reranker_score_entropy, d as max_rank_displacement, t as reranker_rank_of_first_stage_top1, n as num_candidates, s as num_candidate_sources from f""")
 def list_features(spark, sf):
-    return lists.features(_lists(spark, sf)).drop("first_stage_score_entropy", "reranker_score_entropy")
+    return policies.nested(_with_sources(_lists(spark, sf))).select("query_id", policies.features(F.col("c")).alias("f")).select("query_id", "f.*")
+
+
+def _with_sources(x):
+    return x.withColumn("source", F.element_at(F.array(*map(F.lit, ("bm25", "dense", "other"))), (F.col("doc_id") % 3).cast("int") + 1))
 
 
 def _policy_sql(order, extra=""):
@@ -358,7 +363,7 @@ def _policy_sql(order, extra=""):
 
 
 def _ranked(spark, sf, name, **kw):
-    return lists.policy(_lists(spark, sf), name, **kw).select("query_id", "doc_id", "final_rank")
+    return policies.ranked(_lists(spark, sf), name, **kw).select("query_id", "doc_id", "final_rank")
 
 
 @query(_policy_sql("case when fs_rank<=3 then fs_rank else 1000 end, rr_rank"))
@@ -368,7 +373,7 @@ def policy_topk_lock(spark, sf):
 
 @query(_policy_sql("mix desc, fs_rank", ", m as (select *, round(0.85*(case when mf-nf<1e-12 then 1 else (fs-nf)/(mf-nf) end)+(1-0.85::DOUBLE)*(case when mr-nr<1e-12 then 1 else (rr-nr)/(mr-nr) end),9) mix from (select *, max(fs) over w mf, min(fs) over w nf, max(rr) over w mr, min(rr) over w nr from lists window w as (partition by query_id)))"))
 def policy_blend(spark, sf):
-    return _ranked(spark, sf, "blend")
+    return _ranked(spark, sf, "blend", alpha=0.85)
 
 
 @query(_policy_sql("case when lead<0.05 and fs_rank=1 then 0 else 1 end, rr_rank", ", m as (select *, max(rr) over (partition by query_id) - max(case when fs_rank=1 then rr end) over (partition by query_id) lead from lists)"))
@@ -378,27 +383,43 @@ def policy_margin_override(spark, sf):
 
 @query(_policy_sql("case when sure and fs_rank<=3 then fs_rank else 1000 end, rr_rank", ", m as (select *, max(case when fs_rank=1 then fs end) over (partition by query_id) - max(case when fs_rank=2 then fs end) over (partition by query_id) >= 0.02 sure from lists)"))
 def policy_confidence_conditional(spark, sf):
-    return _ranked(spark, sf, "confidence_conditional", gap=0.02)
+    return _ranked(spark, sf, "confidence_conditional", gap_high=0.02)
 
 
-@query()
+def _bounded_sql(down, up, free="false", score="rr"):
+    """Placing one document after the other, as a recursion over the places."""
+    left = "list_filter(items, lambda e: not list_contains(o, e.f))"
+    best = "list_sort(list_transform({l}, lambda e: struct_pack(a:=-e.s, b:=e.f)))[1].b"
+    risen = f"list_filter(l, lambda e: e.x or e.f-{up}<=p)"
+    return f"""with recursive {LISTS}, own as (select *, max(case when fs_rank=1 then rr end) over (partition by query_id) top from lists),
+items as (select query_id, list(struct_pack(f:=(fs_rank-1)::INT, s:={score}, x:={free}, d:=doc_id) order by fs_rank) items, count(*) n from own group by 1),
+st as (select query_id, items, n, 0::INT p, []::INT[] o from items union all
+ select query_id, items, n, p+1, list_append(o, case when list_min(list_transform(l, lambda e: e.f))+{down}<=p then list_min(list_transform(l, lambda e: e.f))
+  else coalesce({best.format(l=risen)}, {best.format(l='l')}) end) from (select *, {left} l from st where p<n))
+select query_id, items[f+1].d as doc_id, row_number() over (partition by query_id order by k) as final_rank from (select query_id, items, unnest(o) f, unnest(range(1, n+1)) k from st where p=n)"""
+
+
+@query(_bounded_sql(3, 1000000))
 def policy_bounded_downshift(spark, sf):
-    return lists.bounded_policy(_lists(spark, sf), down=3)
+    return _ranked(spark, sf, "bounded_downshift", down=3)
 
 
-@query()
+@query(_bounded_sql(1000000, 3, "rr-top>=0.2"))
 def policy_bounded_upshift(spark, sf):
-    return lists.bounded_policy(_lists(spark, sf), up=3, margin=0.2)
+    return _ranked(spark, sf, "bounded_upshift", up=3, margin=0.2)
 
 
-@query()
+_TRIED = {"identity": "fs_rank", "always_rerank": "rr_rank", "top1_lock": "case when fs_rank=1 then 0 else 1 end, rr_rank", "topk_lock": "case when fs_rank<=3 then fs_rank else 1000 end, rr_rank"}
+_EVAL = " union all ".join(f"select '{n}' pol, *, row_number() over (partition by query_id order by {o}) p_rank from lists" for n, o in _TRIED.items())
+
+
+@query(f"""with {HARD}, o as ({_EVAL}), q as (select pol, query_id, {_ndcg('fs_rank')} f, {_ndcg('rr_rank')} a, {_ndcg('p_rank')} p, max(abs(p_rank-fs_rank)) moved,
+ bool_and(p_rank=fs_rank) kept, bool_or(p_rank=1 and fs_rank=1) top1 from o group by 1,2)
+select pol as policy, count(*) as queries, round(avg(f),6) as first, round(avg(a),6) as raw, round(avg(p),6) as reached, round(avg(p-f),6) as delta, round(avg(p-a),6) as delta_raw,
+ round(avg(kept::INT),6) as abstain_rate, round(avg(top1::INT),6) as lock_rate, round(avg((p-f<=-0.2+1e-9)::INT),6) as catastrophic_rate, round(avg(moved),6) as displacement,
+ round(avg(case when bucket in ('medium','hard') then p-f end),6) as medium_hard_delta from q join hard using(query_id) group by 1""")
 def policy_evaluation(spark, sf):
-    x = _lists(spark, sf)
-    out = None
-    for name in ("identity", "always_rerank", "top1_lock", "topk_lock", "blend"):
-        own = lists.policy_report(x, lists.policy(x, name)).withColumn("policy_name", F.lit(name))
-        out = own if out is None else out.unionByName(own)
-    return out
+    return policies.evaluation(policies.judged(_lists(spark, sf), {n: (n, {}) for n in _TRIED}))
 
 
 def _runs(spark, sf):
@@ -419,11 +440,11 @@ def pareto_frontier(spark, sf):
 def promotion_gate(spark, sf):
     h = lists.hardness(_lists(spark, sf))
     m = h.agg(F.avg("delta").alias("lift"), (F.count_if(F.col("delta") <= -0.2) / F.count(F.lit(1))).alias("cat"), F.avg("oracle_ndcg").alias("o"))
-    return lists.gate(m, {"lift": F.col("lift") >= 0, "catastrophic": F.col("cat") <= 0.05, "oracle": F.col("o") >= 0.95})
+    return gates.checks(m, {"lift": F.col("lift") >= 0, "catastrophic": F.col("cat") <= 0.05, "oracle": F.col("o") >= 0.95})
 
 
 # ---------------------------------------------------------------- text functions
-@query(f"select doc_id, md5({FOLD.format(x='text')}) as folded, md5({COLLAPSED.format(x='text')}) as collapsed, substr(sha256(text),1,16) as hash16 from documents")
+@query(f"select doc_id, md5({FOLD.format(x='text')}) as folded, md5({COLLAPSED.format(x='text')}) as collapsed, substr(sha256({NFC.format(x='text')}),1,16) as hash16 from documents")
 def normalize_forms(spark, sf):
     x = F.col("text")
     return _corpus(spark, sf).select("doc_id", F.md5(tx.fold(x)).alias("folded"), F.md5(tx.collapsed(x)).alias("collapsed"), tx.text_hash(x).alias("hash16"))
@@ -440,7 +461,7 @@ def split_assignment(spark, sf):
     return _corpus(spark, sf).select("doc_id", tx.split_of(F.col("doc_id").cast("string")).alias("split"))
 
 
-@query(f"with {PAIRS} select 'p'||substr(sha256(substr(sha256(query),1,16)||'::'||substr(sha256(document),1,16)),1,16) as id, pair_id from pairs")
+@query(f"with {PAIRS} select 'p'||substr(sha256(substr(sha256({NFC.format(x='query')}),1,16)||'::'||substr(sha256({NFC.format(x='document')}),1,16)),1,16) as id, pair_id from pairs")
 def pair_ids(spark, sf):
     return _pairs(spark, sf).select(tx.pair_id(F.col("query"), F.col("document")).alias("id"), "pair_id")
 
@@ -501,49 +522,29 @@ def _all_pairs(spark, sf):
     return d.select(F.col("doc_id").alias("cand_id"), "text"), d.select(F.col("doc_id").alias("eval_id"), "text")
 
 
-@query(f"select a.doc_id cand_id, b.doc_id eval_id from documents a join documents b on {COLLAPSED.format(x='a.text')}={COLLAPSED.format(x='b.text')} where a.doc_id%2=0 and b.doc_id%2=1")
-def leakage_exact(spark, sf):
-    """Even documents against odd ones: benchmark passages never are whole documents."""
-    d = _corpus(spark, sf)
-    return leakage.exact(
-        d.filter("doc_id % 2 = 0").select(F.col("doc_id").alias("cand_id"), "text"),
-        d.filter("doc_id % 2 = 1").select(F.col("doc_id").alias("eval_id"), "text"),
-    )
-
-
 @query("select doc_id, item_id from documents d join benchmark b on contains(d.text, b.text)")
 def leakage_containment(spark, sf):
     return leakage.contained(_corpus(spark, sf), _t(spark, sf, "benchmark"))
 
 
-@query(f"""with s as (select doc_id, list_distinct({TOKENS.format(x='text')}) t from documents where length(text)<2000), e as (select doc_id, unnest(t) tok from s),
-p as (select a.doc_id x, b.doc_id y, count(*) c from e a join e b on a.tok=b.tok and a.doc_id<b.doc_id group by 1,2 having count(*)>20)
-select x as cand_id, y as eval_id, round(c/(len(a.t)+len(b.t)-c),4) as score from p join s a on a.doc_id=x join s b on b.doc_id=y where c/(len(a.t)+len(b.t)-c)>=0.6 and len(a.t)>=21 and len(b.t)>=21""")
-def leakage_jaccard(spark, sf):
-    """Token Jaccard of at least 0.6 between documents under 2,000 characters."""
-    d = _corpus(spark, sf).filter((F.length("text") < 2000) & (F.size(F.array_distinct(tx.tokens(F.col("text")))) >= 21))
-    a, b = d.select(F.col("doc_id").alias("cand_id"), "text"), d.select(F.col("doc_id").alias("eval_id"), "text")
-    pairs = leakage.jaccard_pairs(a, b, 0.6).filter("cand_id < eval_id")
-    return pairs
-
-
 @query()
 def leakage_lsh(spark, sf):
-    """The best hit of each document among those of larger id."""
-    return leakage.best_hits(leakage.near_duplicates(*_all_pairs(spark, sf), 0.9).filter("cand_id < eval_id"))
+    """The best hit of each document among all others."""
+    return leakage.best_others(_sides(spark, sf)[0], 0.9)
 
 
 @query(f"select a.doc_id cand_id, b.doc_id eval_id from documents a join documents b on {COLLAPSED.format(x='a.text')}={COLLAPSED.format(x='b.text')} where a.doc_id<b.doc_id")
 def leakage_exact_whole(spark, sf):
-    """All pairs of equal documents; leakage_exact has those of different parity."""
+    """All pairs of equal documents."""
     return leakage.exact(*_all_pairs(spark, sf)).filter("cand_id < eval_id")
 
 
-@query()
+@query(f"""with s as (select doc_id, list_distinct({TOKENS.format(x='text')}) t from documents), e as (select doc_id, unnest(t) tok from s),
+p as (select a.doc_id x, b.doc_id y, count(*) c from e a join e b on a.tok=b.tok and a.doc_id<b.doc_id group by 1,2)
+select x as cand_id, y as eval_id, round(c/(len(a.t)+len(b.t)-c),4) as score from p join s a on a.doc_id=x join s b on b.doc_id=y where c/(len(a.t)+len(b.t)-c)>=0.6""")
 def leakage_jaccard_whole(spark, sf):
-    """Token Jaccard of at least 0.6 between all documents; leakage_jaccard has those under 2,000
-    characters."""
-    return leakage.jaccard_pairs(*_all_pairs(spark, sf), 0.6).filter("cand_id < eval_id")
+    """Token Jaccard of at least 0.6 between all documents, whole texts."""
+    return leakage.jaccard_pairs(_sides(spark, sf)[0], None, 0.6)
 
 
 @query()
@@ -556,6 +557,12 @@ def leakage_lsh_benchmark(spark, sf):
     return leakage.best_hits(leakage.near_duplicates(*_sides(spark, sf), 0.9))
 
 
+@query()
+def leakage_blocking(spark, sf):
+    """How many pairs are verified of all there are."""
+    return leakage.blocking_report(_sides(spark, sf)[0])
+
+
 _PII = {"email": r"[\w.+-]+@[\w-]+\.[A-Za-z]{2,}", "iban_de": r"\bDE\d{2}[ ]?(?:\d{4}[ ]?){4}\d{2}\b", "ipv4": r"\b(?:\d{1,3}\.){3}\d{1,3}\b"}
 
 
@@ -565,9 +572,15 @@ def pii_scan(spark, sf):
     return found.groupBy("kind", "match").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_PHONES = "(select doc_id, case when doc_id%9=0 then text || ' Tel. 0' || (30000000+doc_id*7919)::varchar || ', mobil: +49 171 ' || (2000000+doc_id)::varchar || '.' else text end t from documents)"
+
+
+@query(rf"select doc_id, len(regexp_extract_all(t, '(^|[^\w.])((?:\+49|0049|0)\d[\d /()-]{{6,}}\d)', 2)) as n from {_PHONES} where len(regexp_extract_all(t, '(^|[^\w.])((?:\+49|0049|0)\d[\d /()-]{{6,}}\d)', 2))>0")
 def pii_phone(spark, sf):
-    return _corpus(spark, sf).select("doc_id", F.inline(tx.pii(F.col("text"), ("phone",))))
+    """Phone numbers are rare in the documents, so every ninth gets two more."""
+    more = F.concat(F.col("text"), F.lit(" Tel. 0"), (30000000 + F.col("doc_id") * 7919).cast("string"), F.lit(", mobil: +49 171 "), (2000000 + F.col("doc_id")).cast("string"), F.lit("."))
+    x = _corpus(spark, sf).select("doc_id", F.when(F.col("doc_id") % 9 == 0, more).otherwise(F.col("text")).alias("t"))
+    return x.select("doc_id", F.size(tx.pii(F.col("t"), ("phone",))).cast("long").alias("n")).filter("n > 0")
 
 
 # ---------------------------------------------------------------- contracts and variants
@@ -602,13 +615,6 @@ def all_variants(spark, sf):
     return p.select("pair_id", vr.expanded({**adv, **hard}))
 
 
-@query("""select item_id, style, style||': '||substr(text,1,40) as prompt from benchmark cross join (values ('question'),('keyword'),('statement')) s(style)""")
-def templated_queries(spark, sf):
-    styles = F.explode(F.array(*map(F.lit, ("question", "keyword", "statement")))).alias("style")
-    rows = _t(spark, sf, "benchmark").select("item_id", "text", styles)
-    return rows.select("item_id", "style", F.concat("style", F.lit(": "), F.substring("text", 1, 40)).alias("prompt"))
-
-
 # ---------------------------------------------------------------- sampling
 @query("select lang, doc_id from (select lang, doc_id, row_number() over (partition by lang order by doc_id) n from documents) where n<=25")
 def domain_cap(spark, sf):
@@ -716,22 +722,12 @@ def kmeans_fixed_init(spark, sf):
     return clustering.kmeans(v, 8)
 
 
-def _parents(spark, sf):
-    return _all_parents(spark, sf).filter("parent < 30")
-
-
 def _all_parents(spark, sf):
     return _t(spark, sf, "embeddings").select((F.col("vec_id") % 10).alias("key"), (F.col("vec_id") / 10).cast("int").alias("parent"), F.col("embedding").alias("vector"))
 
 
-@query("select key, pos, round(avg(x),6) as v from (select vec_id%10 as key, unnest(embedding::DOUBLE[]) x, unnest(range(0,64)) pos from embeddings where vec_id<300) group by 1,2")
-def merge_mean(spark, sf):
-    return _cells(merging.mean(_parents(spark, sf)))
-
-
 @query("select key, pos, round(avg(x),6) as v from (select vec_id%10 as key, unnest(embedding::DOUBLE[]) x, unnest(range(0,64)) pos from embeddings) group by 1,2")
 def merge_mean_all(spark, sf):
-    """Over all embeddings; merge_mean has the first 300."""
     return _cells(merging.mean(_all_parents(spark, sf)))
 
 

@@ -113,6 +113,34 @@ def test_leakage(spark):
     docs = spark.createDataFrame([(1, "x a b c d e f g h i j y"), (2, "a b c")], "doc_id long, text string")
     items = spark.createDataFrame([(5, "a b c d e f g h i j")], "item_id long, text string")
     assert [tuple(r) for r in leakage.contained(docs, items).collect()] == [(1, 5)]
+    docs = spark.createDataFrame([(1, "x a b c d e y"), (2, "za b c dz"), (3, None), (4, "ab"), (5, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a b c d"), (2, "b c"), (3, "a"), (4, "b"), (5, ""), (6, None), (7, "d e")], "item_id long, text string")
+    want = {(d.doc_id, i.item_id) for d in docs.collect() for i in items.collect() if d.text and i.text and i.text in d.text}
+    assert {tuple(r) for r in leakage.contained(docs, items).collect()} == want and len(want) == 11
+
+
+def test_leakage_classes_and_index(spark, tmp_path):
+    """Copies, near copies and others: all pairs by brute force, the best other one, a saved index."""
+    words = lambda seed, n: [f"w{(i * seed) % 997}" for i in range(n)]
+    texts = {i: " ".join(words(7 + i, 60)) for i in range(8)}
+    texts |= {20 + i: texts[0] for i in range(5)}
+    texts |= {30: texts[1] + " mehr", 31: "mehr " + texts[1], 40: "", 41: None, 42: "?!"}
+    rows = spark.createDataFrame(list(texts.items()), "cand_id long, text string")
+    evals = rows.withColumnRenamed("cand_id", "eval_id")
+    gram = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t and t.strip("?!") else set()
+    sets = {i: gram(t) for i, t in texts.items()}
+    want = {(i, j) for i in sets for j in sets if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.9 * len(sets[i] | sets[j])}
+    assert {(r.cand_id, r.eval_id) for r in leakage.near_duplicates(rows, evals, 0.9, 0).collect()} == want
+    best = {r.cand_id: r.eval_id for r in leakage.best_others(rows, 0.9, 0).collect()}
+    assert best == {i: min((j for x, j in want if x == i and j != i), key=lambda j: (-len(sets[i] & sets[j]) / len(sets[i] | sets[j]), j)) for i in {x for x, y in want if x != y}}
+    leakage.save_index(evals, str(tmp_path / "index"))
+    assert {(r.cand_id, r.eval_id) for r in leakage.search_index(rows, str(tmp_path / "index"), 0.9, 0).collect()} == want
+    r = leakage.blocking_report(rows).first()
+    assert r.texts == 15 and r.classes == 10 and r.verified <= r.naive
+    with pytest.raises(ValueError):
+        leakage.require_clean(leakage.near_duplicates(rows, evals))
+    same = leakage.jaccard_pairs(rows, None, 0.9)
+    assert {(r.cand_id, r.eval_id) for r in same.collect()} >= {(i, j) for i, j in want if i < j}
 
 
 def test_records(spark):
@@ -137,27 +165,15 @@ def _lists(spark):
     return df.withColumn("rr_rank", F.expr("row_number() over (partition by query_id order by rr desc, doc_id)"))
 
 
-def test_policies(spark):
+def test_lists(spark):
     x = _lists(spark)
-    order = lambda df: [r.doc_id for r in df.orderBy("final_rank").collect()]
-    assert order(lists.policy(x, "identity")) == [0, 1, 2, 3, 4]
-    assert order(lists.policy(x, "always_rerank")) == [1, 4, 2, 3, 0]
-    assert order(lists.policy(x, "top1_lock")) == [0, 1, 4, 2, 3]
-    assert order(lists.policy(x, "topk_lock", k=2)) == [0, 1, 4, 2, 3]
-    assert order(lists.policy(x, "margin_override", margin=0.5)) == [1, 4, 2, 3, 0]
-    down = order(lists.bounded_policy(x, down=1))
-    assert all(down.index(d) <= d + 1 for d in range(5))
-    up = order(lists.bounded_policy(x, up=1, margin=99))
-    assert all(up.index(d) >= d - 1 for d in range(5))
-    with pytest.raises(ValueError):
-        lists.policy(x, "none")
     h = lists.hardness(x).first()
     assert h.oracle_ndcg == 1 and 0 < h.fs_ndcg < 1
-    assert lists.features(x).first().num_candidates == 5
-    single = x.filter("doc_id = 0")
-    assert order(lists.bounded_policy(single, down=3)) == [0]
     t = lists.teacher_targets(x, "rr").agg(F.sum("target")).first()[0]
     assert t == pytest.approx(1)
+    kinds = {"Gold": "injected", "my-bm25": "bm25", "own-model": "dense", "e5": "dense", "": "other", None: "other", "x": "other"}
+    for source, want in kinds.items():
+        assert one(spark, source, lambda c: lists.source_class(c, ["own"])) == want
 
 
 def test_variants(spark):
