@@ -7,8 +7,8 @@ read again for the next one. All but the last return the columns of documents.
    good text avoids, are too low go.
 2. language: prediction by partial matching; documents without a letter or whose language is
    uncertain go, a missing lang is filled in.
-3. near_duplicates: SimHash candidates checked on five-word shingles at a similarity of 0.8; the
-   smallest doc_id of each group stays. Documents without an id are not compared and stay.
+3. near_duplicates: SimHash candidates and an exact prefix filter, checked on five-word shingles
+   at a similarity of 0.8; one document of each group stays.
 4. mixing: documents are drawn by probabilities raked to source, language and topic weights.
 5. packing: token ids end to end, cut every 2048.
 
@@ -21,40 +21,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimark.llm import language, mixing, packing, quality, simhash
+from sedimark.llm import language, mixing, near, packing, quality
 from sedimark.llm.common import table, written
 
 
+def docs_where(docs: DataFrame, f) -> DataFrame:
+    """f of docs with their columns named apart from those that f adds, whatever these are called;
+    then the columns of docs again."""
+    used = ("doc_id", "text", "lang", "source")
+    apart = {c: c if c in used else f"_{i}_{c}" for i, c in enumerate(docs.columns)}
+    found = f(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in apart.items())))
+    return found.select(*(F.col(f"`{n}`").alias(c) for c, n in apart.items()))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts go. Repeated rows are judged alike. Without labels all others stay."""
     ratios, thresholds = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return (
-        quality.weighed(docs, ratios).filter(quality.accepted(thresholds)).select(*docs.columns)
-    )
+    return docs_where(docs, lambda d: quality.weighed(d, ratios).filter(quality.accepted(thresholds)))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language.identify(docs, language.fit(docs))
-    sure = found.filter("lang_pred <> 'und' and score >= 0.5")
-    return sure.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    """Null texts and texts without a letter go; a null lang is filled in, others stay as they are."""
+    trees = language.fit(docs)
+
+    def sure(d: DataFrame) -> DataFrame:
+        found = language.identify(d, trees).filter("lang_pred <> 'und' and score >= 0.5")
+        return found.withColumn("lang", F.coalesce("lang", "lang_pred"))
+
+    return docs_where(docs, sure)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    named = docs.filter("doc_id is not null")
-    kept = (
-        simhash.near_duplicates(named)
-        .filter("doc_id = component_id")
-        .select("doc_id")
-        .distinct()
-    )
-    first = named.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return first.unionByName(docs.filter("doc_id is null"))
+    """One document of each group of near-duplicates stays, that with the smallest doc_id. Documents
+    without an id are not compared and stay; of two different texts under one id both are compared;
+    repeated rows are one document."""
+    return near.first_of_each(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, share=0.8).filter("mix_sampled").select(*docs.columns)
+    """Null sources and languages are values of their own. Equal ids are drawn alike."""
+    return docs_where(docs, lambda d: mixing.mix(d, share=0.8).filter("mix_sampled"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null texts count as empty. A row per piece of a document."""
     return packing.pack(docs)
 
 

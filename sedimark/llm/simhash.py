@@ -325,216 +325,3 @@ def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = 4) -> Da
     return prints.join(by_print, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def near_duplicates(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 8, most: int = 4000
-) -> DataFrame:
-    """doc_id, component_id over documents whose sets of `shingle`-word shingles have a Jaccard
-    similarity of at least `similarity`, in steps. First candidates are the components of SimHash
-    fingerprints over distinct words, which a few changed words hardly move; each component is
-    then checked exactly, a component of over `most` texts in pairs of slices. What contiguous
-    changes moved beyond `radius` is found by _across, which leaves out no pair."""
-    prints = written(fingerprints(docs, 1, distinct=True))
-    texts = written(prints.groupBy("fp", "same").agg(F.min("doc_id").alias("first_id")))
-    fps = written(texts.groupBy("fp").agg(F.count(F.lit(1)).alias("n")))
-    roots = components(candidate_links(fps.select("fp"), radius))
-    sized = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "root", F.coalesce("root", "fp")
-    )
-    several = (
-        sized.groupBy("root").agg(F.sum("n").alias("texts")).filter("texts > 1")
-    )
-    candidates = (
-        texts.join(sized.select("fp", "root"), "fp")
-        .join(several, "root")
-        .withColumn("s", F.ceil(F.col("texts") / (most // 2)))
-        .withColumn("s", F.when(F.col("texts") <= most, 1).otherwise(F.col("s")))
-        .select("first_id", "root", "s")
-    )
-    mine = F.pmod(F.xxhash64("first_id"), F.col("s"))
-    rows = (
-        docs.select(F.col("doc_id").alias("first_id"), "text")
-        .join(candidates, "first_id")
-        .dropDuplicates(["first_id"])
-        .withColumn("mine", mine)
-        .select(
-            "first_id",
-            "text",
-            "root",
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(0).cast("long"), F.col("s") - 1),
-                    lambda o: F.least(o, F.col("mine")) * F.col("s") + F.greatest(o, F.col("mine")),
-                )
-            ).alias("slice"),
-        )
-    )
-
-    def run(batches):
-        at, ids, sets = None, [], []
-        for batch in batches:
-            for i, text, root, part in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                if (root, part) != at:
-                    if len(ids) > 1:
-                        yield _similar(ids, sets, similarity)
-                    at, ids, sets = (root, part), [], []
-                ids.append(i)
-                sets.append(shingle_hashes(words(text), shingle, True))
-        if len(ids) > 1:
-            yield _similar(ids, sets, similarity)
-
-    arrow_limits(docs.sparkSession)
-    links = (
-        rows.repartition("root", "slice")
-        .sortWithinPartitions("root", "slice")
-        .mapInArrow(run, "a bigint, b bigint")
-    )
-    linked = components(links)
-    of_text = written(
-        texts.join(linked.withColumnRenamed("node", "first_id"), "first_id", "left").select(
-            "fp", "same", "first_id", F.coalesce("root", "first_id").alias("part")
-        )
-    )
-    tied = components(_across(docs, of_text.select("first_id", "part"), shingle, similarity))
-    of_text = of_text.join(tied.withColumnRenamed("node", "part"), "part", "left").select(
-        "fp", "same", F.coalesce("root", "part").alias("component_id")
-    )
-    return prints.join(of_text, ["fp", "same"]).select("doc_id", "component_id")
-
-
-def _usual(docs: DataFrame, shingle: int, sample: int = 20_000, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, and counts of shingles that several texts of a sample have. They only
-    put the shingles in order, so a bound on them costs time and no pair."""
-    n = max(1, docs.count())
-    key = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(17)), 11) / float(1 << 53)
-
-    def run(batches):
-        for batch in batches:
-            for text in batch.column(0):
-                h = shingle_hashes(words(text.as_py()), shingle, True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
-
-    found = (
-        docs.filter(key < sample / n)
-        .select("text")
-        .mapInArrow(run, "h bigint")
-        .groupBy("h")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .filter("c > 1")
-        .orderBy(F.desc("c"), "h")
-        .limit(most)
-        .toArrow()
-    )
-    h, c = found.column("h").to_numpy(), found.column("c").to_numpy()
-    order = np.argsort(h)
-    return h[order], c[order]
-
-
-def _shared_enough(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared > 0 and shared >= similarity * (len(a) + len(b) - shared) - 1e-9
-
-
-def _across(docs: DataFrame, parts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links (a, b) between the parts (first_id, part) of texts that have `similarity` and are in
-    different parts. Prefix filter: with the shingles in one order, rare ones first, two such
-    sets share one of their first n - ceil(similarity * n) + 1."""
-    shared = docs.sparkSession.sparkContext.broadcast(_usual(docs, shingle))
-
-    def prefixes(batches):
-        usual, counts = shared.value
-        for batch in batches:
-            sizes, heads = [], []
-            for text in batch.column(1):
-                h = shingle_hashes(words(text.as_py()), shingle, True).view(np.int64)
-                count = np.zeros(len(h), np.int64)
-                if len(usual):
-                    at = np.minimum(np.searchsorted(usual, h), len(usual) - 1)
-                    count = np.where(usual[at] == h, counts[at], 0)
-                keep = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1 if len(h) else 0
-                sizes.append(len(h))
-                heads.append(h[np.lexsort((h, count))[:keep]])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int64()))],
-                ["first_id", "n", "heads"],
-            )
-
-    arrow_limits(docs.sparkSession)
-    named = docs.select(F.col("doc_id").alias("first_id"), "text")
-    kind = named.schema["first_id"].dataType.simpleString()
-    heads = named.mapInArrow(prefixes, f"first_id {kind}, n int, heads array<bigint>")
-    entries = written(
-        heads.join(parts, "first_id")
-        .dropDuplicates(["first_id"])
-        .select("first_id", "part", "n", F.explode("heads").alias("h"))
-    )
-    several = entries.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi")
-    met = written(entries.join(several.select("h"), "h"))
-    x, y = met.alias("x"), met.alias("y")
-    near = (F.col("x.n") >= F.col("y.n") * similarity - 1e-9) & (F.col("y.n") >= F.col("x.n") * similarity - 1e-9)
-    pairs = written(
-        x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.part") < F.col("y.part")) & near)
-        .select(*(F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "xy" for c in ("first_id", "part")))
-        .distinct()
-    )
-    asked = pairs.select(F.col("first_id_x").alias("first_id")).union(pairs.select("first_id_y")).distinct()
-    texts = written(named.join(asked, "first_id", "left_semi").dropDuplicates(["first_id"]))
-    both = pairs
-    for side in "xy":
-        both = both.join(texts.select(F.col("first_id").alias(f"first_id_{side}"), F.col("text").alias(f"text_{side}")), f"first_id_{side}")
-
-    def verified(batches):
-        known: dict = {}
-
-        def hashes(i, text):
-            if i not in known:
-                if len(known) > 500:
-                    known.clear()
-                known[i] = shingle_hashes(words(text), shingle, True)
-            return known[i]
-
-        for batch in batches:
-            a, b = [], []
-            for i, j, p, q, t, u in zip(*(c.to_pylist() for c in batch.columns)):
-                if _shared_enough(hashes(i, t), hashes(j, u), similarity):
-                    a.append(q)
-                    b.append(p)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return both.select("first_id_x", "first_id_y", "part_x", "part_y", "text_x", "text_y").mapInArrow(
-        verified, "a bigint, b bigint"
-    )
-
-
-def _similar(ids: list[int], sets: list[np.ndarray], similarity: float) -> pa.RecordBatch:
-    """Links that connect all sets which reach each other in steps of `similarity`. The overlaps
-    of a set with all sets before it are counted at once from the postings of its members."""
-    sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    values = np.concatenate(sets)
-    order = np.lexsort((owner, values))
-    values, owner = values[order], owner[order]
-    root = np.arange(len(sets))
-    for i, s in enumerate(sets):
-        if not len(s):
-            continue
-        lo, hi = np.searchsorted(values, s), np.searchsorted(values, s, "right")
-        many = hi - lo > 1
-        lo, hi = lo[many], hi[many]
-        if not len(lo):
-            continue
-        n = hi - lo
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        shared = np.bincount(owner[at], minlength=len(sets))[:i]
-        alike = np.flatnonzero(shared >= similarity * (len(s) + sizes[:i] - shared) - 1e-9)
-        alike = alike[shared[alike] > 0]
-        _union(root, np.full(len(alike), i), alike)
-    empty = np.flatnonzero(sizes == 0)
-    if len(empty):
-        _union(root, np.full(len(empty), empty[0]), empty)
-    tied = np.flatnonzero(root != np.arange(len(root)))
-    ids = np.array(ids)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(ids[tied], pa.int64()), pa.array(ids[root[tied]], pa.int64())], ["a", "b"]
-    )

@@ -3,7 +3,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sedimark.llm import simhash
+from sedimark.llm import near, simhash
 from sedimark.llm.components import components
 
 
@@ -88,7 +88,7 @@ def test_components_of_chains_and_stars(spark):
 
 def test_near_duplicates_equal_brute_force(documents, odd_texts):
     rows = [r for r in odd_texts if r[0] is not None] + some_texts(np.random.default_rng(2))
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(rows), most=20).collect()}
+    got = {r.doc_id: r.component_id for r in near.near_duplicates(documents(rows)).collect()}
     sets = {i: set(simhash.shingle_hashes(simhash.words(t), 5, True).tolist()) for i, t in rows}
     alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
     assert got == brute_roots(sorted(sets), alike)
@@ -109,5 +109,33 @@ def test_contiguous_changes_are_found(documents):
     alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
     want = brute_roots(sorted(sets), alike)
     assert sum(i != r for i, r in want.items()) > 50
-    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(documents(rows)).collect()}
+    got = {r.doc_id: r.component_id for r in near.near_duplicates(documents(rows)).collect()}
     assert got == want
+
+
+def test_rounds_change_nothing(documents):
+    """Groups tied by stars are those of all pairs; chains of copies that are far from the first."""
+    rng = np.random.default_rng(4)
+    w = [f"w{x}" for x in rng.integers(0, 10**6, 300)]
+    rows = []
+    for i in range(60):
+        rows.append((i, " ".join(w)))
+        at = int(rng.integers(0, 280))
+        w = w[:at] + [f"n{x}" for x in rng.integers(0, 10**6, 20)] + w[at + 20 :]
+    rows += some_texts(rng, 40)
+    sets = {i: set(simhash.shingle_hashes(simhash.words(t), 5, True).tolist()) for i, t in rows}
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    want = brute_roots(sorted(sets), alike)
+    for rounds in (0, 2):
+        got = {r.doc_id: r.component_id for r in near.near_duplicates(documents(rows), rounds=rounds).collect()}
+        assert got == want
+
+
+def test_first_of_each(documents):
+    """Two different texts under one id both stay; repeated rows once; rows without an id all stay."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, text), (3, text + " mehr"), (3, "ganz anderer Text"), (3, "ganz  anderer text"), (7, "x y"), (7, "x y"), (None, text), (None, text), (9, None), (8, "")]
+    got = sorted(((r.doc_id, r.text) for r in near.first_of_each(documents(rows)).collect()), key=str)
+    assert [(i, t) for i, t in got if i in (7, 8, 9, None)] == [(7, "x y"), (8, ""), (None, text), (None, text)]
+    assert [t for i, t in got if i == 3 and t.startswith("w")] == [text + " mehr"]
+    assert sum(i == 3 and not t.startswith("w") for i, t in got) == 1 and not any(i == 5 for i, _ in got)
