@@ -18,7 +18,9 @@ throughout, known by a 64-bit hash of it, with membership beside it.
    shared one, are checked.
 
 No link is lost, as step 3 ends with all of them; the order of shingles comes from a sample and
-costs time only. What is moved are hashes; texts are moved for pairs that are to be checked.
+costs time only. A pair is checked by sketches of the sets first, which rule out nearly all that
+haven't the similarity and none that has. What is moved are hashes and sketches; texts are moved
+for pairs that sketches don't rule out.
 
 Edge cases. Null and empty texts are one text, without shingles, linked to nothing else. Repeated
 rows and equal texts are one group. Null doc_id: left out. An id with two different texts is in
@@ -36,6 +38,9 @@ from sedimark.llm.common import arrow_limits, written
 from sedimark.llm.components import components
 from sedimark.llm.simhash import candidate_links, fingerprint, shingle_hashes, words
 
+SENT = 500_000  # rows of ids up to which they are sent to the documents, 8 MB
+CENTRES = 2  # classes of shingles whose stars have centres of their own
+
 
 def same_text(text: str = "text") -> Column:
     """A hash of the sequence of words: A-Z lower-cased, ASCII white space as single spaces."""
@@ -43,25 +48,79 @@ def same_text(text: str = "text") -> Column:
     return F.xxhash64(F.trim(F.regexp_replace(low, r"[ \t-\r]+", " ")))
 
 
-def _texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (doc_id, same) and a row per text (same, fp, first_id)."""
+def sketch(hashes: np.ndarray) -> bytes:
+    """A set of hashes as bits, four to eight a hash, a power of two of them."""
+    size = 1 << max(6, (4 * len(hashes)).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(hashes & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_share(a: bytes, b: bytes, n: int, m: int, similarity: float) -> bool:
+    """Whether sets of n and m hashes can have the similarity, by their sketches: each bit that only
+    one of them has is a hash that the other hasn't. Never false for sets that have it."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    shared = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+    return shared > 0 and shared >= similarity * (n + m - shared) - 1e-9
+
+
+def _texts(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Members (doc_id, same) and a row per text (same, fp, n, bits, first_id)."""
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(shingle_hashes(words(t.as_py()), 1, True)) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "same", "fp"])
+            fps, sizes, bits = [], [], []
+            for t in batch.column(2):
+                w = words(t.as_py())
+                h = shingle_hashes(w, shingle, True)
+                fps.append(fingerprint(shingle_hashes(w, 1, True)))
+                sizes.append(len(h))
+                bits.append(sketch(h))
+            numbers = pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *numbers], ["doc_id", "same", "fp", "n", "bits"])
 
     arrow_limits(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = written(docs.filter("doc_id is not null").select("doc_id", same_text().alias("same"), "text").mapInArrow(run, f"doc_id {kind}, same bigint, fp bigint"))
-    return rows.select("doc_id", "same"), written(rows.groupBy("same").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("first_id")))
+    rows = docs.filter("doc_id is not null").select("doc_id", same_text().alias("same"), "text")
+    rows = written(rows.mapInArrow(run, f"doc_id {kind}, same bigint, fp bigint, n int, bits binary"))
+    own = rows.groupBy("same").agg(*(F.first(c).alias(c) for c in ("fp", "n", "bits")), F.min("doc_id").alias("first_id"))
+    return rows.select("doc_id", "same"), written(own)
 
 
-def _checked(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of pairs (a, b of texts; others kept) that have the similarity. texts: (same, text)."""
+def _possible(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (a, b of texts; others kept) whose sketches don't rule them out."""
+    asked = written(pairs.select(F.col("a").alias("same")).union(pairs.select("b")).distinct())
+    few = asked.count() <= SENT
+    own = written(texts.select("same", "n", "bits").join(F.broadcast(asked) if few else asked, "same", "left_semi"))
+    side = lambda c: own.select(F.col("same").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def run(batches):
+        for batch in batches:
+            own = zip(*(batch.column(c).to_pylist() for c in ("bits_a", "bits_b", "n_a", "n_b")))
+            keep = [may_share(*x, similarity) for x in own]
+            yield batch.select(pairs_columns).filter(pa.array(keep, pa.bool_()))
+
+    pairs_columns = list(pairs.columns)
+    arrow_limits(pairs.sparkSession, 5000)
+    return written(both.select(*pairs_columns, "bits_a", "bits_b", "n_a", "n_b").mapInArrow(run, ", ".join(f"{c} bigint" for c in pairs_columns)))
+
+
+def _checked(pairs: DataFrame, texts: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of pairs (a, b of texts; others kept) that have the similarity: first by sketches, then
+    by the texts themselves, which are looked up in docs by id for what is left."""
+    pairs = _possible(pairs, texts, similarity)
     others = [c for c in pairs.columns if c not in ("a", "b")]
     asked = pairs.select(F.col("a").alias("same")).union(pairs.select("b")).distinct()
-    own = written(texts.join(asked, "same", "left_semi").dropDuplicates(["same"]).select("same", "text"))
+    named = written(texts.select("same", "first_id").join(asked, "same").select(F.col("same").alias("want"), F.col("first_id").alias("doc_id")))
+    if named.count() <= SENT:  # two numbers a row: the texts of all documents stay where they are
+        named = F.broadcast(named)
+    rows = docs.select("doc_id", "text").join(named, "doc_id").withColumn("same", same_text()).filter("same = want")
+    own = written(rows.dropDuplicates(["same"]).select("same", "text"))
     both = pairs.join(own.select(F.col("same").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(own.select(F.col("same").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -85,7 +144,7 @@ def _checked(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float
 
     arrow_limits(pairs.sparkSession, 500)
     kinds = ", ".join(f"{c} bigint" for c in ("a", "b", *others))
-    return both.select("a", "b", *others, "text_a", "text_b").mapInArrow(run, kinds)
+    return written(both.select("a", "b", *others, "text_a", "text_b").mapInArrow(run, kinds))
 
 
 def _by_simhash(texts: DataFrame, radius: int) -> DataFrame:
@@ -190,47 +249,54 @@ def _joined(parts: DataFrame, links: DataFrame) -> tuple[DataFrame, bool]:
     return written(new), True
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4, rounds: int = 3) -> DataFrame:
+def _fits(similarity: float) -> Column:
+    """Sizes of x and y that can reach the similarity, with enough shingles behind the shared one: at
+    the first that two sets share, what follows must do."""
+    near = (F.col("x.n") >= F.col("y.n") * similarity - 1e-9) & (F.col("y.n") >= F.col("x.n") * similarity - 1e-9)
+    follows = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    return near & (follows >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-9)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4, rounds: int = 4) -> DataFrame:
     """doc_id, same, component_id, first_same: the smallest doc_id of the group, and of that one's
     texts the smallest `same`. A row per different (doc_id, text)."""
-    members, texts = _texts(docs)
-    content = docs.filter("doc_id is not null").select(same_text().alias("same"), "text")
+    members, texts = _texts(docs, shingle)
     parts = texts.select("same", F.col("same").alias("part"))
-    found = _checked(_by_simhash(texts, radius), content, shingle, similarity)
+    found = _checked(_by_simhash(texts, radius), texts, docs, shingle, similarity)
     parts, _ = _joined(parts, found)
     met = _met(docs, shingle, similarity)
-    for _ in range(rounds):
-        own = met.join(parts, "same")
-        least = own.groupBy("h").agg(F.min(F.struct("part", "same")).alias("lo"), F.max("part").alias("hi")).filter("lo.part < hi")
-        stars = (
-            own.join(least.select("h", "lo"), "h")
-            .filter("part <> lo.part")
-            # One text of each group and shingle; the same two groups once.
-            .groupBy("part", F.col("lo.part").alias("lo"))
-            .agg(F.min(F.struct(F.col("same").alias("a"), F.col("lo.same").alias("b"))).alias("x"))
-            .select("x.a", "x.b", F.col("part").alias("p"), F.col("lo").alias("q"))
+    for i in range(rounds):
+        # Of each shingle one text is the centre of a star, by a hash that differs with the round
+        # and with a few classes of shingles, so that large groups are met most often.
+        own = met.join(parts, "same").withColumn("k", F.xxhash64("same", F.pmod("h", F.lit(CENTRES)), F.lit(i)))
+        least = own.groupBy("h").agg(F.min(F.struct("k", "part", "same", "n", "at")).alias("c"), F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo < hi")
+        x, y = own.alias("x"), least.select("h", "c.*").alias("y")
+        stars = written(
+            x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.part") != F.col("y.part")) & _fits(similarity))
+            # A text and a group once.
+            .groupBy(F.col("x.same").alias("a"), F.col("x.part").alias("p"), F.col("y.part").alias("q"))
+            .agg(F.min(F.col("y.same")).alias("b"))
+            .select("a", "b", "p", "q")
         )
-        stars = written(stars)
         if stars.isEmpty():
             break
-        good = _checked(stars, content, shingle, similarity)
+        good = _checked(stars, texts, docs, shingle, similarity)
         parts, some = _joined(parts, good.select(F.col("p").alias("a"), F.col("q").alias("b")))
         if not some:
             break
-    own = written(met.join(parts, "same"))
-    x, y = own.alias("x"), own.alias("y")
-    fits = (F.col("x.n") >= F.col("y.n") * similarity - 1e-9) & (F.col("y.n") >= F.col("x.n") * similarity - 1e-9)
-    # At the first shingle that two sets share, what follows must be enough.
-    follows = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    fits = fits & (follows >= similarity / (1 + similarity) * (F.col("x.n") + F.col("y.n")) - 1e-9)
-    pairs = written(
-        x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.part") < F.col("y.part")) & fits)
-        .select(F.col("x.same").alias("a"), F.col("y.same").alias("b"), F.col("x.part").alias("p"), F.col("y.part").alias("q"))
-        .distinct()
-    )
-    if not pairs.isEmpty():
-        good = _checked(pairs, content, shingle, similarity)
-        parts, _ = _joined(parts, good.select(F.col("p").alias("a"), F.col("q").alias("b")))
+    # A part of the pairs first, which ties most of what is left, then all.
+    for share in (16, 1):
+        own = written(met.join(parts, "same"))
+        x, y = own.alias("x"), own.alias("y")
+        some_ = F.pmod(F.xxhash64("x.same", "y.same"), F.lit(share)) == 0
+        pairs = written(
+            x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.part") < F.col("y.part")) & some_ & _fits(similarity))
+            .select(F.col("x.same").alias("a"), F.col("y.same").alias("b"), F.col("x.part").alias("p"), F.col("y.part").alias("q"))
+            .distinct()
+        )
+        if not pairs.isEmpty():
+            good = _checked(pairs, texts, docs, shingle, similarity)
+            parts, _ = _joined(parts, good.select(F.col("p").alias("a"), F.col("q").alias("b")))
     named = parts.join(texts.select("same", "first_id"), "same")
     least = named.groupBy("part").agg(F.min(F.struct("first_id", "same")).alias("m"))
     of_text = named.select("same", "part").join(least, "part").select("same", F.col("m.first_id").alias("component_id"), F.col("m.same").alias("first_same"))
@@ -243,6 +309,9 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     stay are not shuffled as long as the dropped ones are few enough to be sent to them."""
     groups = written(near_duplicates(docs))
     gone = groups.filter("not (doc_id = component_id and same = first_same)").select(F.col("doc_id").alias("_d"), F.col("same").alias("_s"))
+    gone = written(gone)
+    if gone.count() <= SENT:
+        gone = F.broadcast(gone)
     rows = docs.withColumn("_same", F.when(F.col("doc_id").isNotNull(), same_text()))
     left = rows.join(gone, (F.col("doc_id") == F.col("_d")) & (F.col("_same") == F.col("_s")), "left_anti")
     # Rows repeated under one id: few, and one of them stays.
