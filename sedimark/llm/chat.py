@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 TURN, BODY, END = "<|turn|>", "<|text|>", "<|end|>"
 #: What may follow the opening character of a control string, in this template or in others.
 #: None of these contains an opening character or a backslash.
-AFTER_OPENING = r"(?:\|[A-Za-z0-9_]{1,64}\|>|/?s>|/?SYS>>|(?:bos|eos|pad|unk|start_of_turn|end_of_turn)>|/?(?:INST|AVAILABLE_TOOLS|TOOL_CALLS|TOOL_RESULTS|SYSTEM_PROMPT)\])"
+AFTER_OPENING = r"(?:\|[A-Za-z0-9_]+\|>|/?s>|/?SYS>>|(?:bos|eos|pad|unk|start_of_turn|end_of_turn)>|/?(?:INST|AVAILABLE_TOOLS|TOOL_CALLS|TOOL_RESULTS|SYSTEM_PROMPT)\])"
 
 
 def escape(text: Column) -> Column:

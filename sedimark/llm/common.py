@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedimark.sources.scratch import written  # noqa: F401  tables in the folder that executors share
+
 TABLES = ("documents", "pages", "benchmark", "labels", "conversations", "embeddings")
 
 
@@ -17,32 +14,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Only where it is unset
-    (tests, a local session) a temporary folder of this process takes its place."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if not path:
-        path = sc.getConf().get("spark.checkpoint.dir", None) or getattr(sc, "_sedimark_dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="sedimark-")
-        atexit.register(shutil.rmtree, path, True)
-        sc._sedimark_dir = path
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def written(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Cuts the lineage: df as a Parquet table in the shared folder, read again. Another
-    executor can rebuild any lost task from the files."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sedimark-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def arrow_limits(spark: SparkSession, rows: int = 2000, size: str = "32m") -> None:
     """Bounds an Arrow batch in rows and bytes, so that long texts do not add up in a worker.
     Settings that are stricter already stay."""

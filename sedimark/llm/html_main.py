@@ -17,7 +17,7 @@ joined by one space in page order. Comments, head, scripts, styles and embedded
 text. Markup that is cut off at the end is dropped.
 
 Edge cases. Null or empty html: empty text. No tags at all: all of it is text. Repeated rows: one
-result each. Deep nesting: no recursion. Empty input: empty result. Other columns are kept.
+result each. Deep nesting: no recursion. Empty input: empty result. A column named text is replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -44,11 +44,12 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role|data-kept)\s*=\s*(\"[^\"]*\"|'[^']*'|
 _TOKENS = re.compile(r"[a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?]")
 # Elements whose content is no text of the page, and elements without content.
-_SKIPPED = frozenset("head script style noscript template svg iframe object canvas math audio video select textarea title".split())
+_SKIPPED = frozenset("head script style noscript template svg iframe object canvas audio video select textarea title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _TAGS = ["#text", "p", "h1", "h2", "li", "ul", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form", "table", "blockquote", "body"]
 _ALIAS = {"h3": "h2", "h4": "h2", "h5": "h2", "h6": "h2", "ol": "ul", "dl": "ul", "dt": "li", "dd": "li", "menu": "nav", "fieldset": "form", "button": "form", "label": "form", "legend": "form", "tr": "table", "td": "table", "th": "table", "thead": "table", "tbody": "table", "tfoot": "table", "caption": "table", "pre": "blockquote", "figure": "div", "figcaption": "p", "center": "div", "address": "p", "details": "div", "summary": "p", "dialog": "aside", "hgroup": "div", "html": "body"}
 _BLOCK = {t: i for i, t in enumerate(_TAGS)} | {a: _TAGS.index(t) for a, t in _ALIAS.items()}
+_STOPS = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I | re.A) for t in _SKIPPED}
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _SCOPE = frozenset(("ul", "ol", "dl", "table", "body", "html"))
 #: Tokens of class, id and role by what they say.
@@ -115,7 +116,17 @@ class Page:
         if cut := _CUT_OFF.search(html, max(0, html.rfind("<"))):
             html = html[: cut.start()]
         stack: list[tuple[str, int]] = [("html", 0)]  # open block elements and their nodes
-        anchors, brk, at, run, lower = 0, True, 0, -1, None
+        where: dict[str, list[int]] = {"html": [0]}  # places in the stack by name
+        anchors, brk, at, run = 0, True, 0, -1
+
+        def cut_back(k: int) -> None:
+            for open_name, _ in stack[k:]:
+                where[open_name].pop()
+            del stack[k:]
+
+        def last(names) -> int:
+            return max((where[n][-1] for n in names if where.get(n)), default=-1)
+
         while True:
             m = _MARK.search(html, at)
             raw = html[at : m.start()] if m else html[at:]
@@ -148,19 +159,15 @@ class Page:
                     anchors = max(0, anchors - 1)
                 elif name in _BLOCK:
                     brk, run = True, -1
-                    for k in range(len(stack) - 1, max(0, len(stack) - 200), -1):
-                        if stack[k][0] == name:
-                            del stack[k:]
-                            break
+                    if (k := last((name,))) > 0:
+                        cut_back(k)
                 continue
             if name in _SKIPPED:
-                lower = html.lower() if lower is None else lower
-                stop = lower.find(f"</{name}", at)
-                if name == "head" and stop < 0:
-                    stop = lower.find("<body", at)
-                if not (m[3] or m[6] or "").endswith("/"):
-                    at = len(html) if stop < 0 else stop
+                stop = _STOPS[name].search(html, at)
                 brk = True
+                # A head that isn't closed is read on: what it may hold is left out by itself.
+                if not (m[3] or m[6] or "").endswith("/") and (stop or name != "head"):
+                    at = stop.start() if stop else len(html)
                 continue
             self.tags[run if run >= 0 else stack[-1][1]] += 1
             if name == "a":
@@ -174,15 +181,12 @@ class Page:
                     continue
                 closes = _CLOSES.get(name)
                 if closes:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] in closes:
-                            del stack[k:]
-                            break
-                        if stack[k][0] in _SCOPE:
-                            break
+                    if (k := last(closes)) > max(0, last(_SCOPE)):
+                        cut_back(k)
                 elif stack[-1][0] == "p":
-                    stack.pop()
+                    cut_back(len(stack) - 1)
                 bits, label = _attributes(m[3] or m[6] or "")
+                where.setdefault(name, []).append(len(stack))
                 stack.append((name, self._node(stack[-1][1], _BLOCK[name], bits, label)))
 
 
@@ -464,10 +468,10 @@ def trained(n: int = 450) -> Boosted:
 
 
 def main_text(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
-    """All columns of pages but html, text."""
+    """All columns of pages but html, and text (in place of one that pages has)."""
     spark = pages.sparkSession
     shared = spark.sparkContext.broadcast(model or trained())
-    others = [c for c in pages.columns if c != "html"]
+    others = [c for c in pages.columns if c not in ("html", "text")]
 
     def run(batches):
         trees = shared.value

@@ -13,12 +13,12 @@ by the sample, whatever the corpus, and they are sent to each executor.
 score is the posterior of the predicted language, all languages alike beforehand, given the mean
 code lengths over at most `evidence` symbols; without that every text of some length has score 1.
 
-Training reads a sample: the `sample` documents of each language with the smallest unsigned hash, of
-each the first `longest` characters. Everything else reads all documents.
+Training reads a sample: the `sample` documents of each language with the smallest unsigned hash,
+whole. Everything else reads all documents.
 
 Edge cases. Null text or text without a letter: `und`, score 0. Null lang: not learned from. No
 usable training text: everything is `und`. Ties of code length: the first name. Null doc_id:
-scored, never held out. Other columns are ignored.
+scored, never held out. Columns named lang_pred, score or bits_per_symbol are replaced, others kept.
 """
 
 from __future__ import annotations
@@ -111,11 +111,9 @@ class Trees:
         return total
 
 
-def labelled_sample(docs: DataFrame, sample: int, longest: int) -> list[tuple[str, str]]:
+def labelled_sample(docs: DataFrame, sample: int) -> list[tuple[str, str]]:
     """(lang, text), at most `sample` for each language."""
-    usable = docs.filter(
-        F.col("lang").isNotNull() & F.col("text").isNotNull()
-    ).withColumn("text", F.substring("text", 1, longest))
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     key = F.xxhash64("doc_id", F.lit(11))
     counts = usable.groupBy("lang").count().collect()  # a row per language
     if not counts:
@@ -132,13 +130,14 @@ def labelled_sample(docs: DataFrame, sample: int, longest: int) -> list[tuple[st
     return [(r.lang, r.text) for r in chosen.filter(F.col("r") <= sample).collect()]
 
 
-def fit(docs: DataFrame, sample: int = 400, longest: int = 5000) -> Trees:
-    return Trees(labelled_sample(docs, sample, longest))
+def fit(docs: DataFrame, sample: int = 300) -> Trees:
+    return Trees(labelled_sample(docs, sample))
 
 
 def identify(docs: DataFrame, trees: Trees, evidence: int = 40) -> DataFrame:
     """All columns of docs, lang_pred, score, bits_per_symbol."""
     spark = docs.sparkSession
+    docs = docs.drop("lang_pred", "score", "bits_per_symbol")
     shared = spark.sparkContext.broadcast(trees)
 
     def run(batches):

@@ -21,7 +21,8 @@ more letters, the smallest one in a tie; class 0 without such a word.
 
 Edge cases. Null source or language: a value of its own (empty name). Null or empty text: no
 tokens, probability of its cell. Null doc_id: drawn like any other. Equal rows: drawn alike.
-Empty input: empty result. Other columns are kept.
+Empty input: empty result. Columns with the names of the result (mix_...) are replaced,
+others kept.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from sedimark.llm.common import written
 
 DIMENSIONS = ("mix_source", "mix_lang", "mix_topic")
 TOPICS = 16
+ROUNDS, CLOSE = 200, 1e-9  # on either path
 
 
 def topic(text: str = "text") -> Column:
@@ -74,7 +76,7 @@ def _targets(tokens: dict[str, float], given: dict[str, float] | None, temper: f
     return {k: v / total if total else 0.0 for k, v in wanted.items()}
 
 
-def rake(cells, targets: list[np.ndarray], rounds: int = 200, close: float = 1e-9) -> np.ndarray:
+def rake(cells, targets: list[np.ndarray], rounds: int = ROUNDS, close: float = CLOSE) -> np.ndarray:
     """Weights (summing to one) of cells = (codes by dimension, tokens), scaled to targets."""
     codes, tokens = cells
     w = tokens / tokens.sum()
@@ -130,7 +132,7 @@ def _rake_locally(cells: DataFrame, given, temper: float, share: float) -> DataF
     return F.broadcast(fitted)
 
 
-def _rake_widely(cells: DataFrame, given, temper: float, share: float, rounds: int = 30) -> DataFrame:
+def _rake_widely(cells: DataFrame, given, temper: float, share: float, rounds: int = ROUNDS) -> DataFrame:
     total = cells.agg(F.sum("tokens")).first()[0]
     budget = share * total
     state = cells.withColumn("w", F.col("tokens") / total)
@@ -156,11 +158,11 @@ def _rake_widely(cells: DataFrame, given, temper: float, share: float, rounds: i
             before = "most_off" if "most_off" in state.columns else "off"
             state = state.withColumn("most_off", F.greatest(before, "off")).drop("off")
         state = written(state)  # else the plan would double with each step
-        if (state.agg(F.max("most_off")).first()[0] or 0.0) < 1e-6:
+        if (state.agg(F.max("most_off")).first()[0] or 0.0) < CLOSE:
             break
         state = state.drop("most_off")
-    state = state.withColumn("p", F.lit(0.0))
-    for _ in range(50):
+    state, full = state.withColumn("p", F.lit(0.0)), 0
+    while True:
         left, mass = state.agg(
             F.lit(budget) - F.coalesce(F.sum(F.when(F.col("p") >= 1, F.col("tokens"))), F.lit(0)),
             F.sum(F.when(F.col("p") < 1, F.col("w"))),
@@ -175,8 +177,10 @@ def _rake_widely(cells: DataFrame, given, temper: float, share: float, rounds: i
                 ),
             )
         )
-        if abs(state.agg(F.sum(F.col("p") * F.col("tokens"))).first()[0] - budget) < 0.001 * budget:
+        now = state.filter("p >= 1").count()
+        if now == full:  # no further cell is taken whole
             break
+        full = now
     return state.select(*DIMENSIONS, "tokens", F.col("w").alias("mix_weight"), F.col("p").alias("mix_probability"))
 
 
@@ -203,13 +207,14 @@ def calibrated_cells(
 def mix(docs: DataFrame, share: float = 0.7, targets=None, temper: float = 0.7, seed: int = 5, local_cells: int = 100_000) -> DataFrame:
     """All columns of docs, the dimensions, mix_tokens, mix_weight, mix_probability, mix_sampled.
     The hashed draw of a document is below its cell's probability if it is sampled."""
-    rows = with_cells(docs)
+    rows = with_cells(docs.drop("mix_weight", "mix_probability", "mix_sampled"))
     cells = calibrated_cells(rows, share, targets, temper, local_cells).drop("tokens")
     draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 11) / float(1 << 53)
     joined = rows.join(cells, list(DIMENSIONS), "left")
     p = F.coalesce("mix_probability", F.lit(0.0))
+    added = (*DIMENSIONS, "mix_tokens", "mix_weight", "mix_probability", "mix_sampled")
     return joined.select(
-        *docs.columns,
+        *(c for c in docs.columns if c not in added),
         *DIMENSIONS,
         "mix_tokens",
         F.coalesce("mix_weight", F.lit(0.0)).alias("mix_weight"),

@@ -19,7 +19,8 @@ their id); everything else runs over all documents.
 
 Edge cases. Null or empty text: weight 0 and rejected by `accepted`. Null labels: not learned
 from. Null doc_id: weighed, its noise is that of a null. Ties of the sampling key: the smaller
-doc_id. No labels: all weights are 0. Empty input: empty result. Other columns are kept.
+doc_id. No labels: all weights are 0. Empty input: empty result. Columns named
+log_weight, avoided or ngrams are replaced, others kept.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ class _Hasher:
             shape = w
             for pattern, by in _SHAPES:
                 shape = pattern.sub(by, shape)
-            got = zlib.crc32(w.lower()) % BUCKETS, zlib.crc32(shape[:8], 7) % BUCKETS
+            got = zlib.crc32(w.lower()) % BUCKETS, zlib.crc32(shape, 7) % BUCKETS
             if len(self.known) >= self.most:
                 self.known.clear()
             self.known[w] = got
@@ -112,6 +113,7 @@ def log_ratios(found: np.ndarray, prior: float = 8.0) -> np.ndarray:
 def weighed(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     """All columns of docs, log_weight, avoided (the part of it from n-grams that the target is
     less likely to write by a factor of four or more), ngrams (distinct ones)."""
+    docs = docs.drop("log_weight", "avoided", "ngrams")
     shared = docs.sparkSession.sparkContext.broadcast(ratios.astype(np.float32))
 
     def run(batches):

@@ -83,7 +83,7 @@ QUERIES = {
 }
 #: The windows once more in SQL: prefix sums of tokens, slots, history and system turns.
 _CONTROL = (
-    r"[<\[]\\*(?:\|[A-Za-z0-9_]{1,64}\|>|/?s>|/?SYS>>|(?:bos|eos|pad|unk|start_of_turn|end_of_turn)>"
+    r"[<\[]\\*(?:\|[A-Za-z0-9_]+\|>|/?s>|/?SYS>>|(?:bos|eos|pad|unk|start_of_turn|end_of_turn)>"
     r"|/?(?:INST|AVAILABLE_TOOLS|TOOL_CALLS|TOOL_RESULTS|SYSTEM_PROMPT)\])"
 )
 _OP1 = f"""

@@ -274,3 +274,48 @@ def test_language_of_other_scripts_and_long_texts(documents):
     assert min(len(t) for i, t in rows if langs[i] == "mr") > 5000
     got = [r for r in language.identify_held_out(documents(rows, langs)).collect() if r.held_out]
     assert np.mean([r.lang_pred == langs[r.doc_id] for r in got]) > 0.95
+
+
+def test_html_of_odd_markup(spark):
+    """Letters whose lower case is longer, a head that isn't closed, formulas, deep lists, a column
+    named text."""
+    body = "<article><h1>Title here</h1><p>First words than one would think, really, of it all.</p><script>var x = 1;</script><p>Second words than one would think, really.</p></article>"
+    rows = [
+        (1, "<html><body>" + body.replace("First", "İ" * 40 + " First") + "</body></html>", "t"),
+        (2, "<html><head><title>no</title><style>p{}</style><header class='header'>Site</header>" + body, "t"),
+        (3, "<html><head><meta charset=x><title>no</title><body>" + body, "t"),
+        (4, body.replace("First", "Let <math><mi>x</mi></math> be"), "t"),
+        (5, "<ul><li>" * 3000 + "deep" + "</li></ul>" * 3000 + body, "t"),
+    ]
+    out = {r.page_id: r.text for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, html string, text string")).collect()}
+    for i in (1, 2, 3):
+        assert "Second words than one would think, really." in out[i] and "var x" not in out[i] and "no" not in out[i].split()
+    assert ("İ" * 40 + " First words") in out[1] and "Let x be words" in out[4]
+
+
+def test_clashing_columns(documents, spark):
+    """Columns named like a result are replaced, and no operator stumbles over them."""
+    import corpus_pipeline
+    from sedimark.llm import mixing, quality
+
+    names = ("log_weight", "avoided", "ngrams", "score", "lang_pred", "bits_per_symbol", "mix_source", "mix_weight", "mix_tokens", "tokens", "same", "part")
+    rows = [(i, " ".join([EN, DE][i % 2].split()[j] for j in np.random.default_rng(i).integers(0, 12, 30))) for i in range(40)]
+    docs = documents(rows, {i: ["en", "de"][i % 2] for i in range(40)}).withColumns({n: F.lit("mine") for n in names})
+    assert quality.weighed(docs, np.zeros(quality.BUCKETS)).filter("log_weight = 0").count() == 40
+    assert language.identify(docs, language.fit(docs)).filter("score > 0").count() == 40
+    assert mixing.mix(docs).filter("mix_tokens > 0").count() == 40
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        kept = stage(spark, docs, "")
+        assert kept.columns == docs.columns and (kept.count() == 0 or kept.first()["score"] == "mine"), name
+
+
+def test_wide_fit_equals_local_fit(documents):
+    from sedimark.llm import mixing
+
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"wort{int(x)}xyz" for x in rng.integers(0, 40, int(rng.integers(1, 60))))) for i in range(150)]
+    docs = documents(rows, {i: ["en", "de", "fr"][i % 3] for i in range(150)}, {i: f"s{i % 4}" for i in range(150)})
+    given = {"mix_source": {"s0": 0.5, "s1": 0.3, "s2": 0.1, "s3": 0.1}}
+    p = lambda n: {r.doc_id: r.mix_probability for r in mixing.mix(docs, share=0.6, targets=given, local_cells=n).collect()}
+    wide, local = p(1), p(10**6)
+    assert max(abs(wide[i] - local[i]) for i in local) < 1e-6
