@@ -1,22 +1,26 @@
 """Language-model scores by a weighted backoff automaton.
 
 States are the empty history, all training words, and all pairs of words that occur at least
-`MINIMUM` times. A state has an arc for each word that follows it at least `MINIMUM` times, with the
-discounted log-probability; a word without an arc takes the failure arc, with the state's backoff
-weight, to the state of the history without its first word, in the end to the empty one, where
-every word has its add-one probability. Backoff weights make the probabilities of each state sum
-to one, so scores are log-probabilities of texts. `MINIMUM` is the same for a corpus of any size:
-what the model gathers grows with the corpus.
-
-A text's score is a sum over its words, pairs and triples, as each kept n-gram has one addend: its
-gain over what its failure arc would give, and its own backoff weight, which every word behind it
-pays. So a text asks for its n-grams without an order.
-
-Cache. Words and n-grams of at least a share `FLOOR` of all training tokens, at most 1 / FLOOR of
-each length, are an automaton that is sent to every executor. All others have their addends in a
-table and are looked up by a shuffle join on the n-gram; no key of it can be hot, as frequent ones
-are in the automaton. The cache changes no score. Words are known by XXH64 in that table, pairs
-and triples by rotated hashes XORed. Counts are exact and over the whole training part.
+`MINIMUM` times. A state has an arc for each word that follows it at least `MINIMUM` times; a word
+without an arc takes the failure arc, with the state's weight, to the state of the history without
+its first word, in the end to the empty one, where every word has its add-one probability. Counts
+are discounted by `DISCOUNT` and interpolated: a state's failure weight is the mass that its arcs
+leave, and an arc has its discounted share plus that weight times what the shorter history gives.
+So the probabilities of each state sum to one. `MINIMUM` is the same for a corpus of any size: what
+the model gathers grows with the corpus.
+
+The automaton is never in one place. Documents are cut into blocks of about `BLOCK` tokens. A block
+sends each of its n-grams once, with its training count, to the bucket of the n-gram's history; the
+bucket adds the counts up, finds the arcs, and answers every block with the states and arcs that
+its texts can reach. The block then walks its texts from left to right. N-grams travel as sorted
+columns of word numbers, compressed, a row per block and bucket.
+
+Hot histories. The arcs of words and pairs of at least a share `HOT` of all tokens (at most
+3 / HOT of them: a pair with that share of all has half of it in blocks that hold at least
+1 / 2 of that share in them) go to buckets by the whole n-gram; their sums are broadcast.
+Words: the 1 / FLOOR most frequent ones at most have numbers, which every executor gets; others are
+told apart by XXH64, pairs and triples by rotated hashes XORed. FLOOR, HOT and BLOCK change no score.
+Counts are exact and over the whole training part.
 
 Tokens: A-Z lower-cased, runs of bytes other than ASCII white space, then one end.
 
@@ -27,23 +31,28 @@ empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import struct
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimark.llm.common import arrow_limits, written
 
-FLOOR = 5e-7  # at most two million words and n-grams of each length in the cache
+FLOOR = 5e-7  # at most two million words have numbers
+HOT = 1e-4
+BLOCK = 2_000_000  # tokens
 MINIMUM = 2  # count from which an n-gram has an arc, in a corpus of any size
 DISCOUNT = 0.5
-_SHIFT = 21
+_PART = 3_000_000  # tokens a task
 _END, _START = 0x2545F4914F6CDD1D, 0x1D8E4E27C47D124F  # in place of a hash
 _TURN_PAIR, _TURN_TRIPLE = 23, 17
 
@@ -63,9 +72,35 @@ def _joined(a: np.ndarray, b: np.ndarray, turn: int) -> np.ndarray:
     return a ^ ((b << np.uint64(turn)) | (b >> np.uint64(64 - turn))).view(np.int64)
 
 
-def _joined_column(a: str, b: str, turn: int):
-    turned = F.shiftleft(b, turn).bitwiseOR(F.shiftrightunsigned(b, 64 - turn))
-    return F.col(a).bitwiseXOR(turned)
+def _among(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The place of each key in a sorted table, -1 for others."""
+    if not len(table):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, at, -1)
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of integers from 0 to 2^63, each as its lowest bytes, then the next ones; zstd."""
+    head, body = [struct.pack("<B", len(arrays))], []
+    for a in arrays:
+        a = np.ascontiguousarray(a, "<i8")
+        width = 8 if len(a) and a.min() < 0 else (int(a.max()).bit_length() + 7) // 8 if len(a) else 0
+        head.append(struct.pack("<QB", len(a), width))
+        body.append(np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+    return zstandard.compress(b"".join(head + body), 3)
+
+
+def unpacked(blob: bytes) -> list[np.ndarray]:
+    blob = zstandard.decompress(blob)
+    n, at, out = blob[0], 1 + 9 * blob[0], []
+    for i in range(n):
+        size, width = struct.unpack_from("<QB", blob, 1 + 9 * i)
+        a = np.zeros((size, 8), np.uint8)
+        a[:, :width] = np.frombuffer(blob, np.uint8, size * width, at).reshape(width, size).T
+        out.append(a.view("<i8").reshape(-1))
+        at += size * width
+    return out
 
 
 class Lookup:
@@ -101,29 +136,23 @@ class Lookup:
 
 
 @dataclass
-class Automaton:
-    """Word numbers: 0.. for kept words in the order of `hashes`, then the end, then the start.
-    pairs and triples are arcs, keyed by the number of the state they leave and the word."""
+class Vocabulary:
+    """Numbers: 0.. for words in the order of `hashes`, then the end, then the start, then, in each
+    block anew, words that have no number of their own."""
 
     hashes: np.ndarray
-    counts: np.ndarray  # of kept words, the end, the start
+    counts: np.ndarray  # of numbered words, the end, the start
     tokens: int
     distinct: int
-    word_backoff: np.ndarray | None = None
-    pairs: Lookup | None = None
-    pair_log: np.ndarray | None = None
-    pair_backoff: np.ndarray | None = None
-    triples: Lookup | None = None
-    triple_log: np.ndarray | None = None
-    complete: bool = True  # no pair or triple is kept elsewhere
+    complete: bool  # words without a number are in no arc
+    hot: dict[int, np.ndarray] = field(default_factory=dict)  # size: sorted keys of hot histories
 
     @property
     def end(self) -> int:
         return len(self.hashes)
 
-    @property
-    def base_log(self) -> np.ndarray:
-        return np.log10((self.counts[:-1] + 1) / (self.tokens + self.distinct + 1))
+    def all_hashes(self, others: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.hashes, [_END, _START], others])
 
 
 class _Numbered(dict):
@@ -135,120 +164,366 @@ class _Numbered(dict):
 
 
 class Reader:
-    """Texts as word numbers; words that the automaton doesn't keep are numbered from `rare` on,
-    until the reader has seen too many words and starts anew, which it does between batches."""
+    """Texts as word numbers. Words without a number get one until the next reset."""
 
-    def __init__(self, model: Automaton, most: int = 400_000):
-        self.model, self.most = model, most
-        self.known = Lookup(model.hashes)
-        self.rare = len(model.hashes) + 2
+    def __init__(self, vocabulary: Vocabulary, most: int = 400_000):
+        self.known, self.most = Lookup(vocabulary.hashes), most
+        self.first = vocabulary.end + 2
         self.reset()
 
     def reset(self):
         self.seen = _Numbered()
         self.number_of = np.zeros(0, np.int64)  # of seen words
-        self.rare_hashes = np.zeros(0, np.int64)
-
-    def _number_new(self) -> None:
-        fresh = list(islice(self.seen, len(self.number_of), None))
-        if not fresh:
-            return
-        hashes = np.array([_hash(w) for w in fresh], np.int64)
-        numbers = self.known(hashes).astype(np.int64)
-        rare = np.flatnonzero(numbers < 0)
-        numbers[rare] = self.rare + len(self.rare_hashes) + np.arange(len(rare))
-        self.number_of = np.concatenate([self.number_of, numbers])
-        self.rare_hashes = np.concatenate([self.rare_hashes, hashes[rare]])
-
-    def number(self, word: bytes) -> int:
-        self.seen[word]
-        self._number_new()
-        return int(self.number_of[self.seen[word]])
-
-    def texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(numbers, place of each text's first): start, words, end of each text in turn."""
-        if len(self.seen) > self.most:
-            self.reset()
+        self.others = np.zeros(0, np.int64)  # hashes
+
+    def texts(self, texts: list[str | None]) -> list[np.ndarray]:
         look, read = self.seen.__getitem__, []
         for t in texts:
             ws = words(t)
             read.append(np.fromiter(map(look, ws), np.int64, len(ws)))
-        self._number_new()
-        sizes = np.array([len(r) + 2 for r in read], np.int64)
-        places = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(read) else sizes
-        out = np.empty(int(sizes.sum()), np.int64)
-        for r, at in zip(read, places.tolist()):
-            out[at + 1 : at + 1 + len(r)] = self.number_of[r]
-        out[places] = self.model.end + 1
-        out[places + sizes - 1] = self.model.end
-        return out, places
-
-    def steps(self, n: np.ndarray):
-        """For each place: word before it, or -1 where a text starts or that word is rare; arc
-        from the state of that word; number of the pair state one place earlier, or -1."""
-        start = self.model.end + 1
-        before = np.full(len(n), -1)
-        before[1:] = n[:-1]
-        before[(n == start) | (before >= self.rare) | (before == self.model.end)] = -1
-        kept = (before >= 0) & (n < self.rare)
-        pair = np.full(len(n), -1)
-        if self.model.pairs is not None:
-            pair[kept] = self.model.pairs((before[kept] << _SHIFT) | n[kept])
-        earlier = np.full(len(n), -1)
-        earlier[1:] = pair[:-1]
-        earlier[before < 0] = -1
-        return before, pair, earlier
-
-    def grams(self, n: np.ndarray):
-        """For each place: the word's hash and the keys of the pair and the triple that end there;
-        whether these are whole."""
-        hashes = np.concatenate([self.model.hashes, [_END, _START], self.rare_hashes])[n]
-        pair, triple = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
-        pair[1:] = _joined(hashes[:-1], hashes[1:], _TURN_PAIR)
-        triple[1:] = _joined(pair[:-1], pair[1:], _TURN_TRIPLE)
-        two = n != self.model.end + 1
-        three = two.copy()
-        three[1:] &= two[:-1]
-        return hashes, pair, triple, two, three
-
-
-def gram_counts(train: DataFrame) -> DataFrame:
-    """size, a, b, c: the training count of each pair (words a and b) and triple (pairs a and b)
-    with at least MINIMUM, written."""
+        if fresh := list(islice(self.seen, len(self.number_of), None)):
+            hashes = np.array([_hash(w) for w in fresh], np.int64)
+            numbers = self.known(hashes).astype(np.int64)
+            new = np.flatnonzero(numbers < 0)
+            numbers[new] = self.first + len(self.others) + np.arange(len(new))
+            self.number_of = np.concatenate([self.number_of, numbers])
+            self.others = np.concatenate([self.others, hashes[new]])
+        return [self.number_of[r] for r in read]
+
+
+def _walk(stream: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
+    """Start, words, end of each text in turn."""
+    n = np.full(len(stream) + 2 * len(sizes), -1)
+    ends = np.cumsum(sizes + 2) - 1
+    n[ends], n[ends - sizes - 1] = end, end + 1
+    n[n < 0] = stream
+    return n
+
+
+class Grams:
+    """The different n-grams of a block by size, in the order in which they are sent: by bucket,
+    then by word numbers. `at` has the n-gram that ends at each place, -1 for none that is sent. The
+    start in the last place stands for all words that no arc can have: they ask for the state."""
+
+    def __init__(self, n: np.ndarray, others: np.ndarray, v: Vocabulary, buckets: int):
+        hashes, start, first = v.all_hashes(others), v.end + 1, v.end + 2
+        self.columns, self.at, self.bucket, self.history, self.run = {}, {}, {}, {}, {}
+        self.no_word, bits = start, max(1, int(len(hashes)).bit_length())
+        numbers, sent = n, n != start
+        if v.complete:  # other words leave states by failure arcs alone
+            sent[1:] &= n[:-1] < first
+            n = np.where(n < first, n, start)
+        three = sent.copy()
+        three[1:] &= sent[:-1]
+        p = np.flatnonzero(sent)
+        pairs, inverse = np.unique((n[p - 1] << bits) | n[p], return_inverse=True)
+        a, b = pairs >> bits, pairs & ((1 << bits) - 1)
+        keys = _joined(hashes[a], hashes[b], _TURN_PAIR)
+        self.pair_at = np.full(len(n), -1)  # in the order of words
+        self.pair_at[p] = inverse
+        order = self._order(2, hashes[a], keys, v, buckets, a)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.columns[2] = [a[order], b[order]]
+        self.at[2] = np.full(len(n), -1)
+        self.at[2][p] = back[inverse]
+
+        p = np.flatnonzero(three)
+        bits = max(1, int(len(pairs)).bit_length())
+        triples, inverse = np.unique((self.pair_at[p - 1] << bits) | self.pair_at[p], return_inverse=True)
+        x, y = triples >> bits, triples & ((1 << bits) - 1)
+        order = self._order(3, keys[x], _joined(keys[x], keys[y], _TURN_TRIPLE), v, buckets, x)
+        again = np.empty(len(order), np.int64)
+        again[order] = np.arange(len(order))
+        x, y = x[order], y[order]
+        self.columns[3] = [a[x], b[x], b[y]]
+        self.at[3] = np.full(len(n), -1)
+        self.at[3][p] = again[inverse]
+
+        self.columns[1] = [np.arange(len(others)) + first]
+        order = self._order(1, others, others, v, buckets, np.arange(len(others)))
+        self.columns[1] = [self.columns[1][0][order]]
+        self.word_order = order
+        self.at[1] = np.full(len(n), -1)
+        again = np.empty(len(order), np.int64)
+        again[order] = np.arange(len(order))
+        self.at[1][numbers >= first] = again[numbers[numbers >= first] - first]
+
+    def _order(self, size, history, keys, v, buckets, number) -> np.ndarray:
+        hot = _among(history, v.hot.get(size, np.zeros(0, np.int64))) >= 0
+        mixed = np.where(hot, keys, history).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        bucket = ((mixed >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bucket, number = bucket[order], number[order]
+        self.bucket[size], self.history[size] = bucket, history[order]
+        # Runs of one history within a bucket: what states are answered for.
+        new = np.ones(len(order), bool)
+        new[1:] = (bucket[1:] != bucket[:-1]) | (number[1:] != number[:-1])
+        self.run[size] = np.cumsum(new) - 1
+        return order
+
+    def counts(self, size: int, train: np.ndarray) -> np.ndarray:
+        at = self.at[size]
+        c = np.bincount(at[(at >= 0) & train], minlength=len(self.bucket[size]))
+        return np.where(self.columns[size][-1] == self.no_word, 0, c)
+
+
+def blocks(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """block, blob (word numbers, sizes of texts, hashes of words without a number), doc_ids, held;
+    hot: pairs that make up half of HOT of the block's training part. Written."""
+    shared, kind = docs.sparkSession.sparkContext.broadcast(v), docs.schema["doc_id"].dataType.simpleString()
+    half, most = HOT / 2, BLOCK
 
     def run(batches):
-        reader = Reader(Automaton(np.zeros(0, np.int64), np.zeros(2, np.int64), 0, 0))
-        kept: list[tuple] = []
+        v = shared.value
+        reader, row = Reader(v), TaskContext.get().partitionId() << 32
+        kept, ids, held, size = [], [], [], 0
+
+        def block():
+            sizes = np.array([len(k) for k in kept], np.int64)
+            stream = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+            rare, first = stream >= reader.first, reader.first
+            used, local = np.unique(stream[rare], return_inverse=True)
+            stream = stream.copy()
+            stream[rare] = first + local
+            others = reader.others[used - first]
+            hashes, outside = v.all_hashes(others), np.concatenate(held)
+            n = _walk(stream, sizes, v.end)
+            train = np.repeat(~outside, sizes + 2)
+            p = np.flatnonzero((n != v.end + 1) & train)
+            pairs, c = np.unique((n[p - 1] << 32) | n[p], return_counts=True)
+            often = c >= half * len(p)
+            pairs, c = pairs[often], c[often]
+            keys = _joined(hashes[pairs >> 32], hashes[pairs & 0xFFFFFFFF], _TURN_PAIR)
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([row], pa.int64()),
+                    pa.array([packed(stream, sizes, others)], pa.binary()),
+                    one(pa.concat_arrays(ids)),
+                    one(pa.array(outside)),
+                    one(pa.array(keys, pa.int64())),
+                    one(pa.array(c, pa.int64())),
+                ],
+                ["block", "blob", "doc_ids", "held", "hot", "hot_c"],
+            )
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            kept += (read := reader.texts(batch.column("text").to_pylist()))
+            ids.append(batch.column("doc_id"))
+            held.append(batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool))
+            size += sum(map(len, read))
+            if size >= most:
+                yield block()
+                row, kept, ids, held, size = row + 1, [], [], [], 0
+                if len(reader.seen) > reader.most:
+                    reader.reset()
+        if kept:
+            yield block()
+
+    schema = f"block bigint, blob binary, doc_ids array<{kind}>, held array<boolean>, hot array<bigint>, hot_c array<bigint>"
+    arrow_limits(docs.sparkSession, 1000, "16m")
+    return written(docs.select("doc_id", "held_out", "text").mapInArrow(run, schema))
+
 
-        def counted():
-            for size in (2, 3):
-                keys, a, b = (np.concatenate(x) for x in zip(*(k[1:] for k in kept if k[0] == size)))
-                _, at, c = np.unique(keys, return_index=True, return_counts=True)
+def answers(of: DataFrame, shared, buckets: int, parts: int) -> DataFrame:
+    """block, bucket, size, blob: for each n-gram that the block sent to the bucket its training
+    count, 0 where it has no arc (words: any count), and for each history the sum of its arcs'
+    counts and their number; and h, s, m: the sums of a bucket for each hot history. Written."""
+
+    def send(batches):
+        v = shared.value
+        for batch in batches:
+            for block, blob, held in zip(batch.column("block").to_pylist(), batch.column("blob"), batch.column("held")):
+                stream, sizes, others = unpacked(blob.as_py())
+                outside = np.array(held.as_py(), bool)
+                n, train = _walk(stream, sizes, v.end), np.repeat(~outside, sizes + 2)
+                grams = Grams(n, others, v, buckets)
+                rows = []
+                for size in (1, 2, 3):
+                    counts, bucket, first = grams.counts(size, train), grams.bucket[size], v.end + 2
+                    cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(bucket) else [0]
+                    for lo, hi in zip(cuts[:-1], cuts[1:]):
+                        columns = [c[lo:hi] for c in grams.columns[size]]
+                        used = np.unique(np.concatenate([c[c >= first] for c in columns]))
+                        for c in columns:
+                            rare = c >= first
+                            c[rare] = first + np.searchsorted(used, c[rare])
+                        columns[0] = np.diff(columns[0], prepend=0)
+                        rows.append((int(bucket[lo]), size, packed(counts[lo:hi], others[used - first], *columns)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), size, np.int8)), pa.array(a[at]), pa.array(b[at]), pa.array(c)],
-                    ["size", "a", "b", "c"],
+                    [
+                        pa.array([block] * len(rows), pa.int64()),
+                        pa.array([r[0] for r in rows], pa.int32()),
+                        pa.array([r[1] for r in rows], pa.int8()),
+                        pa.array([r[2] for r in rows], pa.binary()),
+                    ],
+                    ["block", "bucket", "size", "blob"],
                 )
 
+    def add(size: int, got: list[tuple], v: Vocabulary):
+        keys, histories, counts, runs = [], [], [], []
+        for _, blob in got:
+            c, others, *columns = unpacked(blob)
+            hashes = v.all_hashes(others)
+            columns[0] = np.cumsum(columns[0])
+            h = [hashes[x] for x in columns]
+            history, key, new = h[0], h[0], np.ones(len(c), bool)
+            new[1:] = np.diff(columns[0]) != 0
+            if size > 1:
+                key = _joined(h[0], h[1], _TURN_PAIR)
+            if size > 2:
+                history, key = key, _joined(key, _joined(h[1], h[2], _TURN_PAIR), _TURN_TRIPLE)
+                new[1:] |= np.diff(columns[1]) != 0
+            keys.append(key)
+            histories.append(history)
+            counts.append(c)
+            runs.append(new)
+        _, at, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        c = np.bincount(back, np.concatenate(counts)).astype(np.int64)
+        histories, runs = np.concatenate(histories), np.concatenate(runs)
+        sums = ()
+        if size > 1:
+            c[c < MINIMUM] = 0
+            h, of = np.unique(histories[at], return_inverse=True)
+            s, m = (np.bincount(of, x, minlength=len(h)).astype(np.int64) for x in (c, c > 0))
+            state = np.searchsorted(h, histories[runs])
+            ends = np.cumsum([len(k) for k in keys])
+            run_ends = np.cumsum(runs)[ends - 1]
+            hot = np.flatnonzero((_among(h, v.hot[size]) >= 0) & (m > 0))
+            sums = h[hot], s[hot], m[hot]
+        lo = run_lo = 0
+        blobs = []
+        for i, k in enumerate(keys):
+            own = [c[back[lo : lo + len(k)]]]
+            lo += len(k)
+            if size > 1:
+                own += [s[state[run_lo : run_ends[i]]], m[state[run_lo : run_ends[i]]]]
+                run_lo = run_ends[i]
+            blobs.append(packed(*own))
+        return [b for b, _ in got], blobs, sums
+
+    def reduce(batches):
+        v = shared.value
+
+        def rows(bucket, size, got):
+            to, blobs, sums = add(size, got, v)
+            none = lambda k, n: pa.nulls(n, k)
+            names = ["block", "bucket", "size", "blob", "h", "s", "m"]
+            n = len(to)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(to, pa.int64()), pa.array([bucket] * n, pa.int32()), pa.array([size] * n, pa.int8()),
+                    pa.array(blobs, pa.binary()), *[none(pa.int64(), n)] * 3,
+                ],
+                names,
+            )
+            if sums and len(sums[0]):
+                n = len(sums[0])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        none(pa.int64(), n), none(pa.int32(), n), pa.array([size] * n, pa.int8()), none(pa.binary(), n),
+                        *(pa.array(x, pa.int64()) for x in sums),
+                    ],
+                    names,
+                )
+
+        now, got = None, []
         for batch in batches:
-            n, _ = reader.texts(batch.column(0).to_pylist())
-            if not len(n):
-                continue
-            hashes, pair, triple, two, three = reader.grams(n)
-            two, three = np.flatnonzero(two), np.flatnonzero(three)
-            kept.append((2, pair[two], hashes[two - 1], hashes[two]))
-            kept.append((3, triple[three], pair[three - 1], pair[three]))
-            if sum(len(k[1]) for k in kept) > 3_000_000:
-                yield from counted()
-                kept = []
-        if kept:
-            yield from counted()
+            for bucket, size, block, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "size", "block", "blob"))):
+                if (bucket, size) != now:
+                    if got:
+                        yield from rows(*now, got)
+                    now, got = (bucket, size), []
+                got.append((block, blob))
+        if got:
+            yield from rows(*now, got)
 
     return written(
-        train.select("text")
-        .mapInArrow(run, "size tinyint, a bigint, b bigint, c bigint")
-        .groupBy("size", "a", "b")
-        .agg(F.sum("c").alias("c"))
-        .filter(F.col("c") >= MINIMUM)
+        of.select("block", "blob", "held")
+        .mapInArrow(send, "block bigint, bucket int, size tinyint, blob binary")
+        .repartition(parts, "bucket")
+        .sortWithinPartitions("bucket", "size")
+        .mapInArrow(reduce, "block bigint, bucket int, size tinyint, blob binary, h bigint, s bigint, m bigint")
+    )
+
+
+def walked(of: DataFrame, found: DataFrame, shared, sums: dict, buckets: int, parts: int) -> DataFrame:
+    """A row per document of the blocks: doc_id, held_out, n_tokens, n_known, train_tokens,
+    base_score, score."""
+    kind = of.schema["doc_ids"].dataType.elementType.simpleString()
+
+    def result(ids, held, blob, got, v: Vocabulary):
+        stream, sizes, others = unpacked(blob)
+        n = _walk(stream, sizes, v.end)
+        grams = Grams(n, others, v, buckets)
+        told: dict = {1: ([], [], []), 2: ([], [], []), 3: ([], [], [])}
+        for size, answer in got:  # in the order of buckets
+            for into, x in zip(told[size], unpacked(answer)):
+                into.append(x)
+        joined = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
+        rare = np.zeros(len(others), np.int64)
+        rare[grams.word_order] = joined(told[1][0])
+        counts = np.concatenate([v.counts, rare])
+        own = counts[n]
+        base = (own + 1) / (v.tokens + v.distinct + 1)
+        p, of_history = base.copy(), np.zeros(len(n))
+        of_history[1:] = own[:-1]  # count of the word before, then of the pair before
+        for size in (2, 3):
+            c, s, m = (joined(x) for x in told[size])
+            run = grams.run[size]
+            if len(run):
+                history = np.zeros(run[-1] + 1, np.int64)
+                history[run] = grams.history[size]
+                h, total, number = sums[size]
+                hot = _among(history, v.hot[size])
+                at = _among(history, h)
+                s = np.where(hot >= 0, np.where(at >= 0, total[at] if len(h) else 0, 0), s)
+                m = np.where(hot >= 0, np.where(at >= 0, number[at] if len(h) else 0, 0), m)
+            where = np.flatnonzero((grams.at[size] >= 0) & (of_history > 0))
+            g = grams.at[size][where]
+            left = 1 - (s[run[g]] - DISCOUNT * m[run[g]]) / of_history[where]
+            arc = np.where(c[g] > 0, c[g] - DISCOUNT, 0) / of_history[where]
+            p[where] = arc + left * p[where]
+            pair = np.zeros(len(n))
+            pair[grams.at[size] >= 0] = c[grams.at[size][grams.at[size] >= 0]]
+            of_history[1:] = pair[:-1]
+        real = n != v.end + 1
+        places = np.cumsum(sizes + 2) - sizes - 2
+        total = lambda x: np.add.reduceat(np.where(real, x, 0), places)
+        return pa.RecordBatch.from_arrays(
+            [
+                ids, held, pa.array(sizes + 1), pa.array(total((own > 0).astype(np.int64))),
+                pa.array(np.full(len(sizes), v.tokens)), pa.array(total(np.log10(base))), pa.array(total(np.log10(p))),
+            ],
+            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
+    def run(batches):
+        v, now = shared.value, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if batch.column("size")[i].as_py() == 0:
+                    if now:
+                        yield result(*now, v)
+                    now = batch.column("doc_ids")[i].values, batch.column("held")[i].values, batch.column("blob")[i].as_py(), []
+                else:
+                    now[3].append((batch.column("size")[i].as_py(), batch.column("blob")[i].as_py()))
+        if now:
+            yield result(*now, v)
+
+    own = of.select("block", F.lit(-1).alias("bucket"), F.lit(0).cast("tinyint").alias("size"), "blob", "doc_ids", "held")
+    return (
+        own.unionByName(found.filter("h is null").select("block", "bucket", "size", "blob"), allowMissingColumns=True)
+        .repartition(parts, "block")
+        .sortWithinPartitions("block", "bucket", "size")
+        .mapInArrow(
+            run,
+            f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, "
+            "base_score double, score double",
+        )
     )
 
 
@@ -280,214 +555,50 @@ def word_counts(train: DataFrame) -> DataFrame:
     )
 
 
-def _backoff(kept, lower):
-    """log10 of a state's backoff weight from the probabilities of its arcs, and from what the
-    shorter history gives these; 0 without arcs."""
-    left = lambda x: F.greatest(1 - F.coalesce(x, F.lit(0.0)), F.lit(1e-12))
-    return F.log10(left(kept) / left(lower))
-
-
-def fit(train: DataFrame) -> tuple[Automaton, DataFrame]:
-    """The automaton, and the table of what it doesn't keep: k, c (of words, else null), addend."""
-    spark, train = train.sparkSession, train.select("text")
-    table = word_counts(train)
-    texts = train.count()
-    distinct, tokens = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
-    distinct, tokens = distinct + (texts > 0), tokens + texts
-    if not texts:
-        model = Automaton(np.zeros(0, np.int64), np.array([0, 1]), 0, 0)
-        return model, table.select(F.col("w").alias("k"), "c", F.lit(0.0).alias("addend"))
-    ends = spark.createDataFrame([(_END, texts), (_START, texts)], "w bigint, c bigint")
-    words = table.unionByName(ends)
-    special = F.col("w").isin(_END, _START)
-    frequent = special | (F.col("c") >= FLOOR * tokens)
-
-    def with_word(rows: DataFrame, own: DataFrame, on: str) -> DataFrame:
-        """Frequent words, at most 1 / FLOOR, are broadcast, as they would be hot keys."""
-        own = own.withColumnRenamed("w", on)
-        often = F.col("often")
-        return rows.join(F.broadcast(own.filter(often)), on).unionByName(rows.join(own.filter(~often), on)).drop("often")
-
-    grams = gram_counts(train)
-    p_word = (F.col("c") + 1) / float(tokens + distinct + 1)
-    bases = words.select("w", F.log10(p_word).alias("base"), frequent.alias("often"))
-    pairs = written(with_word(grams.filter("size = 2").drop("size"), bases, "b"))
-    arcs = pairs.groupBy(F.col("a").alias("w")).agg(
-        F.sum(F.col("c") - DISCOUNT).alias("arcs"), F.sum(F.pow(F.lit(10.0), "base")).alias("lower")
-    )
-    words = written(
-        words.join(arcs, "w", "left").select(
-            "w", "c", _backoff(F.col("arcs") / F.col("c"), F.col("lower")).alias("backoff"), frequent.alias("often")
-        )
-    )
-    histories = words.select("w", F.col("c").alias("of"), F.col("backoff").alias("before"), "often")
-    log = F.log10((F.col("c") - DISCOUNT) / F.col("of"))
-    pairs = written(
-        with_word(pairs, histories, "a")
-        .withColumn("log", log)
-        .select(
-            _joined_column("a", "b", _TURN_PAIR).alias("k"), "a", "b", "c", "log",
-            (F.col("log") - F.col("before") - F.col("base")).alias("gain"),
-        )
-    )
-    shorter = pairs.select(F.col("k").alias("b"), F.col("log").alias("lower"))
-    triples = written(grams.filter("size = 3").drop("size").join(shorter, "b"))
-    arcs = triples.groupBy(F.col("a").alias("k")).agg(
-        F.sum(F.col("c") - DISCOUNT).alias("arcs"), F.sum(F.pow(F.lit(10.0), "lower")).alias("lower")
-    )
-    pairs = written(
-        pairs.join(arcs, "k", "left").withColumn("backoff", _backoff(F.col("arcs") / F.col("c"), F.col("lower"))).drop("arcs", "lower")
-    )
-    histories = pairs.select(F.col("k").alias("a"), F.col("c").alias("of"), F.col("backoff").alias("before"))
-    triples = triples.join(histories, "a").withColumn("log", log)
-    triples = written(
-        triples.select(
-            _joined_column("a", "b", _TURN_TRIPLE).alias("k"), "a", "b", "c", "log",
-            (F.col("log") - F.col("before") - F.col("lower")).alias("gain"),
-        )
-    )
-
-    # The cache: at most 1 / FLOOR rows of each length.
-    floor = max(MINIMUM, int(np.ceil(FLOOR * tokens)))
-    column = lambda t, c: t.column(c).to_numpy()
-    own = words.filter("often").filter(~special).orderBy("w").select("w", "c", "backoff").toArrow()
-    start = words.filter(F.col("w") == _START).first().backoff
-    hashes = column(own, "w")
-    model = Automaton(hashes, np.append(column(own, "c"), [texts, texts]), tokens, distinct)
-    model.word_backoff = np.append(column(own, "backoff"), [0.0, start])
-    model.complete = floor <= MINIMUM
-    number = Lookup(np.append(hashes, [_END, _START]))
-    often = pairs.filter(F.col("c") >= floor).select("k", "a", "b", "log", "backoff").toArrow()
-    a, b = (number(column(often, x)).astype(np.int64) for x in ("a", "b"))
-    model.pairs = Lookup((a << _SHIFT) | b)
-    model.pair_log, model.pair_backoff = column(often, "log"), column(often, "backoff")
-    state = Lookup(column(often, "k"))
-    often = triples.filter(F.col("c") >= floor).select("a", "b", "log").toArrow()
-    first, second = (state(column(often, x)).astype(np.int64) for x in ("a", "b"))
-    model.triples = Lookup((first << _SHIFT) | b[second])
-    model.triple_log = column(often, "log")
-
-    seldom, no_count = F.col("c") < floor, F.lit(None).cast("long").alias("c")
-    rest = (
-        words.filter(~F.col("often")).select(F.col("w").alias("k"), "c", F.col("backoff").alias("addend"))
-        .unionByName(pairs.filter(seldom).select("k", no_count, (F.col("gain") + F.col("backoff")).alias("addend")))
-        .unionByName(triples.filter(seldom).select("k", no_count, F.col("gain").alias("addend")))
-    )
-    return model, rest
-
-
-def score(docs: DataFrame, model: Automaton, others: DataFrame) -> DataFrame:
-    """doc_id and held_out as in docs, n_tokens, n_known, train_tokens, base_score, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        m = shared.value
-        reader, row = Reader(m), TaskContext.get().partitionId() << 40
-        base = np.append(m.base_log, 0.0)
-        for batch in batches:
-            n, places = reader.texts(batch.column("text").to_pylist())
-            before, pair, earlier = reader.steps(n)
-            rare = n >= reader.rare
-            own = np.where(rare, 0.0, base[np.where(rare, 0, n)])
-            log = own.copy()
-            asked, asks = np.zeros(0, np.int64), np.zeros(0, np.int64)  # n-grams of others, places
-            if m.pairs is not None:
-                known = before >= 0
-                log[known] += m.word_backoff[before[known]]
-                hit = np.flatnonzero(pair >= 0)
-                log[hit] = m.pair_log[pair[hit]] + m.pair_backoff[pair[hit]]
-                longer = np.flatnonzero((earlier >= 0) & (pair >= 0))
-                triple = m.triples((earlier[longer] << _SHIFT) | n[longer])
-                longer, triple = longer[triple >= 0], triple[triple >= 0]
-                log[longer] += m.triple_log[triple] - m.pair_log[pair[longer]] - m.pair_backoff[earlier[longer]]
-                if not m.complete and len(n):
-                    _, two_key, three_key, two, three = reader.grams(n)
-                    two &= pair < 0
-                    three[longer] = False
-                    asks = np.concatenate([np.flatnonzero(two), np.flatnonzero(three)])
-                    asked = np.concatenate([two_key[two], three_key[three]])
-                    order = np.argsort(asks, kind="stable")
-                    asks, asked = asks[order], asked[order]
-            first = n == m.end + 1
-            log[first] = own[first] = 0
-            sizes = np.diff(np.append(places, len(n)))
-            text = np.repeat(np.arange(len(places)), sizes)
-            keys, tf = np.unique((text[rare] << 32) | (n[rare] - reader.rare), return_counts=True)
-            cuts = np.searchsorted(keys >> 32, np.arange(len(places) + 1)).astype(np.int32)
-            hashes = reader.rare_hashes[keys & 0xFFFFFFFF]
-            gram_cuts = np.searchsorted(asks, np.append(places, len(n))).astype(np.int32)
-            nested = lambda at, v, kind: pa.ListArray.from_arrays(pa.array(at), pa.array(v, kind))
-            common = np.add.reduceat((~rare).astype(np.int64), places) - 1
-            if not m.tokens:
-                common[:] = 0  # nothing is known, not even the end
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    batch.column("held_out"),
-                    pa.array(row + np.arange(len(places))),
-                    pa.array(sizes - 1),
-                    pa.array(common),
-                    pa.array(np.add.reduceat(own, places)),
-                    pa.array(np.add.reduceat(log, places)),
-                    nested(cuts, hashes, pa.int64()),
-                    nested(cuts, tf, pa.int32()),
-                    nested(gram_cuts, asked, pa.int64()),
-                ],
-                ["doc_id", "held_out", "row", "n_tokens", "common", "base", "log", "w", "tf", "grams"],
-            )
-            row += len(places)
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    arrow_limits(docs.sparkSession, 1000, "16m")
-    parts = written(
-        docs.select("doc_id", "held_out", "text").mapInArrow(
-            run,
-            f"doc_id {kind}, held_out boolean, row bigint, n_tokens bigint, common bigint, "
-            "base double, log double, w array<bigint>, tf array<int>, grams array<bigint>",
-        )
-    )
-    log_one = F.log10(F.lit(float(model.tokens + model.distinct + 1)))
-    c = F.coalesce("c", F.lit(0))
-    # Words say how often they occur; a pair or triple is there once for each time.
-    asked = parts.select("row", F.explode(F.arrays_zip("w", "tf")).alias("x")).select(
-        "row", F.col("x.w").alias("k"), "x.tf"
-    )
-    of_words = (
-        asked.join(others.filter("c is not null"), "k", "left")
-        .groupBy("row")
-        .agg(
-            F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("seen"),
-            F.sum(F.col("tf") * (F.log10(c + 1) - log_one)).alias("more"),
-            F.sum(F.col("tf") * F.coalesce("addend", F.lit(0.0))).alias("words_addend"),
-        )
-    )
-    rest = of_words.withColumn("grams_addend", F.lit(0.0))
-    if not model.complete:
-        of_grams = (
-            parts.select("row", F.explode("grams").alias("k"))
-            .join(others.filter("c is null").drop("c"), "k")
-            .groupBy("row")
-            .agg(F.sum("addend").alias("grams_addend"))
-        )
-        rest = of_words.join(of_grams, "row", "full")
-    more = F.coalesce("more", F.lit(0.0))
-    return parts.drop("w", "tf", "grams").join(rest, "row", "left").select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("common") + F.coalesce("seen", F.lit(0))).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (
-            F.col("log") + more + F.coalesce("words_addend", F.lit(0.0)) + F.coalesce("grams_addend", F.lit(0.0))
-        ).alias("score"),
+def vocabulary(train: DataFrame) -> Vocabulary:
+    table, texts = word_counts(train), train.count()
+    steps = [max(MINIMUM, 1 << j) for j in range(1, 45)]
+    one = table.agg(
+        F.count(F.lit(1)).alias("distinct"),
+        F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"),
+        F.array(*(F.count_if(F.col("c") >= s) for s in steps)).alias("above"),
+    ).first()
+    bound = next(s for s, n in zip(steps, one.above) if n <= 1 / FLOOR)
+    often = table.filter(F.col("c") >= bound).toArrow()
+    w, c = (often.column(x).to_numpy() for x in ("w", "c"))
+    order = np.lexsort((w, -c))
+    hashes, counts = w[order], np.append(c[order], [texts, texts])
+    v = Vocabulary(hashes, counts, one.tokens + texts, one.distinct + (texts > 0), bound <= MINIMUM)
+    v.hot[2] = np.sort(v.all_hashes(np.zeros(0, np.int64))[counts >= HOT * max(1, v.tokens)])
+    return v
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """All of docs (doc_id, text, held_out) scored by a model of those that aren't held out."""
+    sc = docs.sparkSession.sparkContext
+    v = vocabulary(docs.filter("not held_out").select("text"))
+    of = blocks(docs, v)
+    hot = (
+        of.select(F.explode(F.arrays_zip("hot", "hot_c")).alias("x"))
+        .groupBy("x.hot")
+        .agg(F.sum("x.hot_c").alias("c"))
+        .filter(F.col("c") >= HOT / 2 * max(1, v.tokens))
     )
+    v.hot[3] = np.sort(hot.select("hot").toArrow().column(0).to_numpy())
+    parts = max(1, -(-v.tokens // _PART))
+    buckets = 4 * parts
+    shared = sc.broadcast(v)
+    found = answers(of, shared, buckets, parts)
+    summed = found.filter("h is not null").groupBy("size", "h").agg(F.sum("s").alias("s"), F.sum("m").alias("m")).toArrow()
+    sums = {}
+    for size in (2, 3):
+        rows = summed.filter(pc.equal(summed.column("size"), size)).sort_by("h")
+        sums[size] = tuple(rows.column(x).to_numpy() for x in ("h", "s", "m"))
+    return walked(of, found, shared, sums, buckets, parts)
 
 
 def score_held_out(docs: DataFrame) -> DataFrame:
     """All documents scored by a model of those whose id's crc32 mod 7 isn't 2."""
     from sedimark.llm.language import held_out
 
-    rows = docs.select("doc_id", "text", held_out(parts=7, part=2).alias("held_out"))
-    model, rare = fit(rows.filter("not held_out"))
-    return score(rows, model, rare)
+    return score(docs.select("doc_id", "text", held_out(parts=7, part=2).alias("held_out")))

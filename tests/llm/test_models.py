@@ -163,38 +163,9 @@ def test_lm_base_and_order(documents, odd_texts):
     assert lm.score_held_out(documents([])).count() == 0
 
 
-def test_lm_probabilities_sum_to_one(documents):
-    """In every state, over all words, the end and the unknown word."""
-    texts = ["a b c a b d", "a b c c", "b c a b c", "d a b c"] * 3
-    model, rare = lm.fit(documents(list(enumerate(texts))))
-    assert rare.count() == 0
-    reader = lm.Reader(model)
-    words = [b"a", b"b", b"c", b"d"]
-
-    def log_p(history, word):
-        n = np.array([model.end + 1, *map(reader.number, history), word])
-        before, pair, earlier = reader.steps(n)
-        i = len(n) - 1
-        base = model.base_log[word] if word < reader.rare - 1 and word != model.end + 1 else -math.log10(model.tokens + model.distinct + 1)
-        if word >= reader.rare:
-            base = -math.log10(model.tokens + model.distinct + 1)
-        log = base
-        if before[i] >= 0:
-            log = model.pair_log[pair[i]] if pair[i] >= 0 else base + model.word_backoff[before[i]]
-        if earlier[i] >= 0:
-            t = model.triples(np.array([(earlier[i] << 21) | word]))[0] if word < reader.rare else -1
-            log = model.triple_log[t] if t >= 0 else log + model.pair_backoff[earlier[i]]
-        return log
-
-    reader.texts(["a b c d"])
-    for history in ([], [b"a"], [b"a", b"b"], [b"b", b"c"], [b"d", b"a", b"b"]):
-        options = [*map(reader.number, words), model.end, reader.rare]
-        assert sum(10 ** log_p(history, w) for w in options) == pytest.approx(1, abs=1e-6)
-
-
-def test_lm_cache_changes_no_score(documents, odd_texts, monkeypatch):
-    """N-grams too rare for the cache keep their arcs and backoff weights: brute force over all
-    with a count of two, whatever share of the tokens that is."""
+def test_lm_scores(documents, odd_texts, monkeypatch):
+    """Brute force over all n-grams with a count of two, whatever words have numbers, whatever
+    histories are hot and however long a block is; its probabilities sum to one in every state."""
     rng = np.random.default_rng(9)
     rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, 30) % 60)) for i in range(20, 120)]
     rows += [r for r in odd_texts if r[0] not in (8, None)]
@@ -216,14 +187,17 @@ def test_lm_cache_changes_no_score(documents, odd_texts, monkeypatch):
         if not history:
             return (count[(w,)] + 1) / (n + v + 1)
         own = arcs.get(history, {})
-        if w in own:
-            return own[w]
-        weight = (1 - sum(own.values())) / (1 - sum(p(history[1:], x) for x in own)) if own else 1
-        return weight * p(history[1:], w)
+        return own.get(w, 0) + (1 - sum(own.values())) * p(history[1:], w)
 
+    vocabulary = [g[0] for g in count if len(g) == 1 and g != ("<s>",)] + ["unknown"]
+    for history in [(), *arcs]:
+        assert sum(p(history, w) for w in vocabulary) == pytest.approx(1)
     want = {i: sum(math.log10(p(tuple(w[max(0, j - 2) : j]), w[j])) for w in [read(t)] for j in range(1, len(w))) for i, t in rows}
-    for floor in (lm.FLOOR, 3 / n, 0.02, 1.0):
+    for floor, hot, block in ((lm.FLOOR, lm.HOT, lm.BLOCK), (3 / n, 2.0, 500), (0.02, 0.01, 1), (1.0, 0.002, 100)):
         monkeypatch.setattr(lm, "FLOOR", floor)
+        monkeypatch.setattr(lm, "HOT", hot)
+        monkeypatch.setattr(lm, "BLOCK", block)
+        monkeypatch.setattr(lm, "_PART", 700)
         got = lm.score_held_out(documents(rows)).collect()
         for r in got:
             assert r.score == pytest.approx(want[r.doc_id], abs=1e-6)
