@@ -49,7 +49,7 @@ from sedimark.llm.common import arrow_limits, written
 
 FLOOR = 5e-7  # at most two million words have numbers
 HOT = 1e-4
-BLOCK = 2_000_000  # tokens
+BLOCK = 500_000  # tokens
 MINIMUM = 2  # count from which an n-gram has an arc, in a corpus of any size
 DISCOUNT = 0.5
 _PART = 3_000_000  # tokens a task
@@ -364,12 +364,14 @@ def answers(of: DataFrame, shared, buckets: int, parts: int) -> DataFrame:
                 )
 
     def add(size: int, got: list[tuple], v: Vocabulary):
-        keys, histories, counts, runs = [], [], [], []
+        keys, histories, counts, runs, numbered = [], [], [], [], v.all_hashes(np.zeros(0, np.int64))
         for _, blob in got:
             c, others, *columns = unpacked(blob)
-            hashes = v.all_hashes(others)
             columns[0] = np.cumsum(columns[0])
-            h = [hashes[x] for x in columns]
+            h = [numbered[np.minimum(x, v.end + 1)] for x in columns]
+            for known, x in zip(h, columns):
+                rare = x > v.end + 1
+                known[rare] = others[x[rare] - v.end - 2]
             history, key, new = h[0], h[0], np.ones(len(c), bool)
             new[1:] = np.diff(columns[0]) != 0
             if size > 1:
