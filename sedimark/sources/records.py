@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sedimark.sources.scratch import written
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
@@ -37,17 +39,18 @@ def write_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
 
 def with_shards(df: DataFrame, order: list, size: int) -> DataFrame:
     """df with shard: numbers of `size` rows in order; size <= 0 is one shard. Rows are counted
-    by ranges first, so no task sorts all of them."""
+    by ranges first, so no task sorts all of them. The ranges are written: planned twice, once to
+    number rows and once to count them, they would be cut at different places."""
     if size <= 0:
         return df.withColumn("shard", F.lit(0).cast("long"))
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    own = Window.partitionBy("_part").orderBy(*order)
-    numbered = ranged.withColumn("_nth", F.row_number().over(own) - 1)
-    totals = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The number of the range above 33 bits, the number of the row within it below.
+    numbered = written(ordered.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    totals = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start"))
-    at = F.col("_start") + F.col("_nth")
-    return numbered.join(F.broadcast(starts), "_part").withColumn("shard", F.floor(at / size)).drop("_part", "_nth", "_start")
+    starts = totals.select("_part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start"))  # a row per range
+    at = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return numbered.join(F.broadcast(starts), "_part").withColumn("shard", F.floor(at / size)).drop("_part", "_at", "_start")
 
 
 def write_shards(df: DataFrame, path: str) -> None:
