@@ -4,6 +4,7 @@ brute force and edge cases."""
 import hashlib
 import itertools
 import math
+import time
 import unicodedata
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from sedimark.functions import inference, nested, questions
 from sedimark.functions import text as tx
 from sedimark.functions import vectors as vx
-from sedimark.operators import admission, contracts, gates, lexical, merging, policies, records, retrieval, teacher, training
+from sedimark.operators import admission, contracts, gates, lexical, merging, metrics, policies, records, retrieval, teacher, training
 
 LONG = "query_id long, doc_id long, fs double, rr double, rel boolean, fs_rank int, rr_rank int, source string, text string"
 
@@ -483,3 +484,21 @@ def test_row_numbers_of_wide_tables(spark):
     assert got.columns == ["id", "text", "shard"]
     # The text is asked for: otherwise it is left out of both plans, which are then the same.
     assert tuple(got.agg(F.count_if(F.col("shard") == F.col("id")), F.count(F.lit(1)), F.max(F.length("text"))).first()) == (40_000, 40_000, 659)
+
+
+def test_contrastive_loss(spark):
+    """Null vectors are left out; a batch of 400 costs its square, not its cube."""
+    rng = np.random.default_rng(3)
+    q, p = rng.normal(size=(2, 400, 8))
+    rows = [(i, q[i].tolist(), p[i].tolist(), [p[i - 1].tolist(), None] if i % 3 == 0 else None) for i in range(400)]
+    rows += [(400, None, p[0].tolist(), None), (401, q[0].tolist(), None, None), (402, q[0].tolist(), [None] * 8, None), (403, q[0].tolist(), [1.0], None)]
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    qs, ps = unit(q), unit(np.vstack([p, p[:1]]))
+    s = np.exp(qs @ ps.T / 0.05)
+    extra = np.array([np.exp(qs[i] @ ps[i - 1 if i else 399] / 0.05) if i % 3 == 0 else 0.0 for i in range(400)])
+    want = np.mean(np.log(s.sum(1) + extra) - (qs * ps[:400]).sum(1) / 0.05)
+    df = spark.createDataFrame(rows, "i long, query array<double>, positive array<double>, negatives array<array<double>>")
+    start = time.monotonic()
+    assert metrics.info_nce(df).first().loss == pytest.approx(want, abs=1e-5)
+    assert time.monotonic() - start < 60
+    assert metrics.info_nce(df.limit(0)).first().loss is None
