@@ -6,11 +6,12 @@ corner gives its direction; 128 comparisons of two smoothed pixels each, turned
 direction, give its descriptor. Which comparisons is learned once, on the driver, from made-up
 pictures: such as split corners evenly and agree with each other little.
 
-Search. A descriptor is entered in eight tables, under the bits of eight windows of it. Windows
-widen with the logarithm of the number of stored corners, so that what meets by chance grows with
-the input and not with its square. An entry is a key and the name of its corner; a bitmap of the
-queries' keys, of a fixed size, leaves out stored entries that no query can meet (where it fills
-up it only saves less). Corners that meet are looked up once and compared in full (at most
+Search. A descriptor is entered in eight tables, under the bits of eight windows of it, of a fixed
+width: whether two images are linked depends on them alone, not on how many others there are.
+What meets by chance is few beside the true matches up to some million stored corners; beyond
+those for which `_width` gives the width it costs more than in proportion, which is logged. An
+entry is a key and the name of its corner; a bitmap of the queries' keys, of a fixed size, leaves
+out stored entries that no query can meet (where it fills up it only saves less). Corners that meet are looked up once and compared in full (at most
 `radius` different bits); a match says how the query image would have to be turned, scaled and
 moved. Matches of two images that agree in this, in overlapping cells, are counted by distinct
 query corners; enough of them make a copy, cropped or edited as it may be.
@@ -31,6 +32,7 @@ returned. Empty input: empty result. Other columns are ignored.
 from __future__ import annotations
 
 import functools
+import logging
 import re
 import zlib
 
@@ -42,6 +44,8 @@ from pyspark.sql import functions as F
 
 from sedimark.llm.common import arrow_limits, written
 
+log = logging.getLogger(__name__)
+
 SCALES = (1.0, 1.4, 2.0)
 TESTS, TURNS, REACH = 128, 32, 11
 POOL = 1500  # comparisons of which the tests are chosen
@@ -49,6 +53,8 @@ _DISC = np.array([(y, x) for y in range(-7, 8) for x in range(-7, 8) if y * y +
 _HEAD = re.compile(rb"P5\s+(\d+)\s+(\d+)\s+255\s")
 #: log2 of the bits of the bitmap of the queries' keys.
 BITMAP = 26
+#: Bits of a window, whatever the input.
+WIDTH = 32
 CORNER = "x float, y float, scale float, angle float, d0 bigint, d1 bigint"
 
 
@@ -186,7 +192,7 @@ def describe(images: DataFrame, corners: int | None = None) -> DataFrame:
 
 
 def _width(corners: int) -> int:
-    """Bits of a window, by the number of stored corners."""
+    """Bits of a window with which chance meetings stay in proportion to this many stored corners."""
     return min(64, max(24, corners.bit_length() + 10))
 
 
@@ -251,12 +257,13 @@ def _classes(described: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def class_links(asked: DataFrame, stored: DataFrame, radius: int, least: int) -> DataFrame:
     """q, s, votes: the contents of a query and of a stored image that it is a copy of, from the
     corners (as described, one image of each content) of both."""
-    width = _width(stored.count())
-    sought = written(_entries(asked, width))
+    if _width(n := stored.count()) > WIDTH:
+        log.warning("%d corners: windows of %d bits meet by chance more than in proportion", n, WIDTH)
+    sought = written(_entries(asked, WIDTH))
     wanted = asked.sparkSession.sparkContext.broadcast(_bitmap(sought))
     met = (
         sought.select("key", F.col("content").alias("q"), F.col("corner").alias("qc"))
-        .join(_entries(stored, width, wanted).select("key", F.col("content").alias("s"), F.col("corner").alias("sc")), "key")
+        .join(_entries(stored, WIDTH, wanted).select("key", F.col("content").alias("s"), F.col("corner").alias("sc")), "key")
         .select("q", "qc", "s", "sc")
         .distinct()
     )

@@ -120,3 +120,18 @@ def test_small_crops_of_large_images(spark):
     owed = {p for p in _all_pairs(parts, whole) if p[0] == p[1]}
     assert len(owed) >= 5 and len(owed & got) >= 0.9 * len(owed)
     assert len(got - {(i, i) for i in range(6)}) <= 1
+
+
+def test_links_do_not_depend_on_the_number_of_images(spark):
+    """Descriptors that differ in every window of 25 bits, and equal ones, among few and many others."""
+    rng = np.random.default_rng(8)
+    flips = sum(1 << b for b in (24, 40, 56)), sum(1 << (b - 64) for b in (72, 88, 104, 120))
+    d = rng.integers(-(1 << 62), 1 << 62, (12, 2)).tolist()
+    row = lambda content, n, d0, d1: (content, n, 20.0 * n, 10.0, 1.0, 0.0, d0, d1)
+    kind = f"content long, corner int, {media.CORNER}"
+    asked = [row(1, n, *d[n]) for n in range(6)] + [row(2, n, *d[n]) for n in range(6, 12)]
+    stored = [row(11, n, *d[n]) for n in range(6)] + [row(12, n, d[n][0] ^ flips[0], d[n][1] ^ flips[1]) for n in range(6, 12)]
+    others = [row(100 + n // 8, n % 8, *x) for n, x in enumerate(rng.integers(-(1 << 62), 1 << 62, (1 << 15, 2)).tolist())]
+    links = lambda rows: {(r.q, r.s, r.votes) for r in media.class_links(spark.createDataFrame(asked, kind), spark.createDataFrame(rows, kind), 18, 4).collect()}
+    few = links(stored)
+    assert (1, 11, 6) in few and links(stored + others) == few
