@@ -33,7 +33,12 @@ PIECE = r"[^\n]{200,800}?[.!?]+(?=\s|$)|[^\n]{1,800}"
 HEAD = 600
 SMALL_PIECE = r"[^\n]{12,24}?(?:[.!?]+|[dnst])(?=\s|$)|[^\n]{12,24}?(?=\s|$)|[^\n]{1,24}"
 PEELING_ROUNDS = 16
-CELL = "struct<i:int,n:int,k:bigint,c:bigint>"
+CELL = "struct<i:bigint,n:int,k:bigint,c:bigint>"
+EMPTY = f"cast(struct(-1, 0, 0, 0) as {CELL})"
+PLACE = 40  # bits of an item's place in a code
+#: Of the 96 cells of a difference: with more in use, peeling gets stuck more often than not, and
+#: the larger sketch is taken at once. The number that comes out is the same.
+HOPELESS = 85
 
 # Expressions are put together as SQL text, which the parser takes at once.
 
@@ -52,40 +57,52 @@ def _bind(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def entries_sql(of: str, signed: str = "") -> str:
-    """What each digest of `of` adds to its three cells. signed: `of` holds structs of digest k
-    and count n, and this is the sign of what they add."""
-    k, n = ("d.k", f"{signed}d.n") if signed else ("d", "1")
-    each = ", ".join(
-        f"struct(cast(shiftright({k}, {BITS * r}) & {WIDTH - 1} as int) + {WIDTH * r} as i, "
-        f"{n} as n, {k} as k, xxhash64({k}) as c)"
+def items_sql(of: str, n: int = 1) -> str:
+    """What each digest of `of`, of which there are n, adds to a cell; the cell itself isn't named."""
+    return f"transform({of}, d -> cast(struct(-1, {n}, d, xxhash64(d)) as {CELL}))"
+
+
+def _codes_sql(items: str, after: str = "0") -> str:
+    """The three cells of each item, each with the item's place above `after` in the lower bits."""
+    cells = ", ".join(
+        f"shiftleft((shiftright(e.k, {BITS * r}) & {WIDTH - 1}) + {WIDTH * r}, {PLACE}) | (j + {after})"
         for r in range(ROWS)
     )
-    return f"flatten(transform({of}, d -> array({each})))"
+    return f"flatten(transform({items}, (e, j) -> array({cells})))"
 
 
-def summed_sql(entries: str) -> str:
-    """The cells that entries add up to, ascending, without empty ones: a fold over the sorted
-    entries, whose last cell is still open."""
+def summed_sql(items: str, codes: str, dense: bool = False) -> str:
+    """The cells that `items` add up to, ascending: a fold over the sorted codes (numbers, which
+    sort faster than structs), whose last cell is still open. Without empty cells; dense: with them."""
     state = f"struct<done:array<{CELL}>,at:{CELL}>"
-    nothing = f"cast(struct(array(), struct(-1, 0, 0, 0)) as {state})"
-    closed = "if(a.at.n = 0 and a.at.k = 0, a.done, concat(a.done, array(a.at)))"
-    return (
-        f"aggregate(array_sort({entries}), {nothing}, (a, e) -> if(a.at.i = e.i, "
-        "struct(a.done as done, struct(e.i as i, a.at.n + e.n as n, a.at.k ^ e.k as k, a.at.c ^ e.c as c) as at), "
-        f"struct({closed} as done, e as at)), a -> {closed})"
+    nothing = f"cast(struct(array(), {EMPTY}) as {state})"
+    if dense:
+        closed = lambda upto: (
+            f"if(a.at.i < 0, array_repeat({EMPTY}, cast({upto} as int)), "
+            f"concat(a.done, array(a.at), array_repeat({EMPTY}, cast({upto} - a.at.i - 1 as int))))"
+        )
+    else:
+        closed = lambda upto: "if(a.at.n = 0 and a.at.k = 0, a.done, concat(a.done, array(a.at)))"
+    cell, item = f"shiftright(x, {PLACE})", f"items[cast(x & {(1 << PLACE) - 1} as int)]"
+    fold = (
+        f"aggregate(array_sort({codes}), {nothing}, (a, x) -> if(a.at.i = {cell}, struct(a.done as done, "
+        f"struct(a.at.i as i, a.at.n + {item}.n as n, a.at.k ^ {item}.k as k, a.at.c ^ {item}.c as c) as at), "
+        f"struct({closed(cell)} as done, struct({cell} as i, {item}.n as n, {item}.k as k, {item}.c as c) as at)), "
+        f"a -> {closed(str(ROWS * WIDTH))})"
     )
+    return _bind(items, "items", fold)
 
 
 def sketch(of: str) -> Column:
-    """The sketch of the digests in the named column: those of the 96 cells that are not empty,
-    as (i, n, k, c): number, how many digests, XOR of digests, XOR of check sums."""
-    return F.expr(summed_sql(entries_sql(of)))
+    """The sketch of the digests in the named column: its 96 cells as (i, n, k, c): number (-1 if
+    empty), how many digests, XOR of digests, XOR of check sums."""
+    return F.expr(summed_sql(items_sql(of), _codes_sql("items"), dense=True))
 
 
 def subtract_sql(a: str, b: str) -> str:
-    turned = f"transform({b}, y -> struct(y.i as i, -y.n as n, y.k as k, y.c as c))"
-    return summed_sql(f"concat({a}, {turned})")
+    """The cells in which two sketches differ."""
+    each = "struct(greatest(x.i, y.i) as i, x.n - y.n as n, x.k ^ y.k as k, x.c ^ y.c as c)"
+    return f"filter(zip_with({a}, {b}, (x, y) -> {each}), e -> e.n <> 0 or e.k <> 0)"
 
 
 def peel_sql(cells: str) -> str:
@@ -97,7 +114,11 @@ def peel_sql(cells: str) -> str:
         "array_distinct(transform(filter(s.cells, c -> abs(c.n) = 1 and xxhash64(c.k) = c.c), "
         "c -> struct(c.k as k, c.n as n)))"
     )
-    rest = summed_sql(f"concat(s.cells, {entries_sql('pure', '-')})")
+    taken = f"transform(pure, p -> cast(struct(-1, -p.n, p.k, xxhash64(p.k)) as {CELL}))"
+    still = f"transform(s.cells, (c, j) -> shiftleft(c.i, {PLACE}) | j)"
+    rest = summed_sql(
+        f"concat(s.cells, {taken})", f"concat({still}, {_codes_sql('pure', 'size(s.cells)')})"
+    )
     step = _bind(
         single,
         "pure",
@@ -124,9 +145,8 @@ def _parts_sql(of: str, groups: str, salt: int) -> str:
 
 def _larger_sql(a: str, b: str, load: int, salt: int) -> str:
     """(ok, d): peeling part by part, with `load` digests of both texts in a part on average."""
-    each = peel_sql(
-        subtract_sql(summed_sql(entries_sql("u")), summed_sql(entries_sql("v")))
-    )
+    items = f"concat({items_sql('u')}, {items_sql('v', -1)})"
+    each = peel_sql(summed_sql(items, _codes_sql("items")))
     peeled = f"zip_with({_parts_sql(a, 'm', salt)}, {_parts_sql(b, 'm', salt)}, (u, v) -> {each})"
     total = _bind(
         peeled,
@@ -141,8 +161,9 @@ def difference_sql(a: str, sketch_a: str, b: str, sketch_b: str) -> str:
     last = f"if(z.ok, z.d, size(array_except({a}, {b})) + size(array_except({b}, {a})))"
     third = _bind(_larger_sql(a, b, 8, 3), "z", last)
     second = _bind(_larger_sql(a, b, 48, 0), "w", f"if(w.ok, w.d, {third})")
+    first = _bind(peel_sql("cells"), "o", f"if(o.ok, size(o.found), {second})")
     return _bind(
-        peel_sql(subtract_sql(sketch_a, sketch_b)), "o", f"if(o.ok, size(o.found), {second})"
+        subtract_sql(sketch_a, sketch_b), "cells", f"if(size(cells) > {HOPELESS}, {second}, {first})"
     )
 
 
@@ -163,10 +184,9 @@ def serialized(text: Column, of: Column, cells: Column) -> Column:
             F.unhex(
                 F.array_join(
                     F.transform(
-                        cells,
+                        F.filter(cells, lambda c: c["n"] > 0),
                         lambda c: F.concat(
-                            F.lpad(F.hex(c["i"]), 2, "0"),
-                            F.lpad(F.hex(c["n"] % 256), 2, "0"),
+                            F.lpad(F.hex(c["i"] * 256 + c["n"] % 256), 4, "0"),
                             F.lpad(F.hex(c["k"]), 16, "0"),
                             F.lpad(F.hex(F.pmod(c["c"], F.lit(65536))), 4, "0"),
                         ),

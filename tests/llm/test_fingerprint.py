@@ -58,3 +58,21 @@ def test_short_edited_texts_stay_near(documents):
         rows.append((i, text[:i]))
     got = fingerprint.compare_versions(documents(rows)).collect()
     assert len(got) == len(rows) and all(r.near_edited > r.near_next for r in got)
+
+
+def test_a_difference_is_one_fold(spark):
+    """Subtracting goes cell by cell, and a part of the larger sketch is summed up at once: no sorting
+    of structs, two folds over entries (digests of both texts at once, then those peeled out)."""
+    assert "array_sort" not in fingerprint.subtract_sql("sa", "sb")
+    larger = fingerprint._larger_sql("a", "b", 48, 0)
+    assert larger.count("array_sort(") == 2
+    rows = [(n, [(i + 1) * 0x9E3779B97F4A7C15 % 2**63 for i in range(n)]) for n in (0, 1, 90)]
+    df = spark.createDataFrame(rows, "n long, a array<long>").withColumn("s", fingerprint.sketch("a"))
+    for r in df.collect():
+        cells = [[0, 0] for _ in range(96)]
+        for d in r.a:
+            for row in range(3):
+                at = cells[(d >> (5 * row)) % 32 + 32 * row]
+                at[0], at[1] = at[0] + 1, at[1] ^ d
+        assert [[c.n, c.k] for c in r.s] == cells
+        assert all(c.i == (i if c.n else -1) for i, c in enumerate(r.s))
