@@ -6,10 +6,12 @@ corner gives its direction; 128 comparisons of two smoothed pixels each, turned
 direction, give its descriptor. Which comparisons is learned once, on the driver, from made-up
 pictures: such as split corners evenly and agree with each other little.
 
-Search. A descriptor is entered in eight tables, under the bits of eight windows of it, of a fixed
-width: whether two images are linked depends on them alone, not on how many others there are.
-What meets by chance is few beside the true matches up to some million stored corners; beyond
-those for which `_width` gives the width it costs more than in proportion, which is logged. An
+Search. A descriptor is entered in 40 tables: its bits are put in three fixed orders, and each
+order has eight windows of a fixed width. Whether two images are linked depends on them alone, not
+on how many others there are. In the order in which the tests were chosen late bits agree with each
+other more than early ones, so that some windows tell little apart; in a shuffled order all
+windows are alike. What meets by chance still grows with the product of queries and stored corners;
+beyond the corners for which `_width` gives the width this is logged. An
 entry is a key and the name of its corner; a bitmap of the queries' keys, of a fixed size, leaves
 out stored entries that no query can meet (where it fills up it only saves less). Corners that meet are looked up once and compared in full (at most
 `radius` different bits); a match says how the query image would have to be turned, scaled and
@@ -52,9 +54,11 @@ POOL = 1500  # comparisons of which the tests are chosen
 _DISC = np.array([(y, x) for y in range(-7, 8) for x in range(-7, 8) if y * y + x * x <= 50])
 _HEAD = re.compile(rb"P5\s+(\d+)\s+(\d+)\s+255\s")
 #: log2 of the bits of the bitmap of the queries' keys.
-BITMAP = 26
+BITMAP = 27
 #: Bits of a window, whatever the input.
-WIDTH = 32
+WIDTH = 44
+#: In how many orders the bits of a descriptor are cut into windows.
+ORDERS = 5
 CORNER = "x float, y float, scale float, angle float, d0 bigint, d1 bigint"
 
 
@@ -212,14 +216,33 @@ def _keys(d0: np.ndarray, d1: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+@functools.cache
+def _orders() -> list[np.ndarray]:
+    rng = np.random.default_rng(3)
+    return [rng.permutation(TESTS) for _ in range(ORDERS)]
+
+
+def _shuffled_keys(d0: np.ndarray, d1: np.ndarray, width: int) -> np.ndarray:
+    """For each descriptor the eight keys of each order of its bits."""
+    bits = np.unpackbits(np.column_stack([d0, d1]).astype("<i8").view(np.uint8), axis=1, bitorder="little")
+    out = []
+    for n, order in enumerate(_orders()):
+        d = np.ascontiguousarray(np.packbits(bits[:, order], axis=1, bitorder="little")).view("<i8")
+        keys = _keys(np.ascontiguousarray(d[:, 0]), np.ascontiguousarray(d[:, 1]), width)
+        out.append(keys ^ np.uint64(n * 0x9E3779B97F4A7C15 % (1 << 64)))
+    return np.concatenate(out, axis=1)
+
+
 def _entries(corners: DataFrame, width: int, wanted=None) -> DataFrame:
-    """key, content, corner: eight rows a corner, without those that the bitmap says nobody wants."""
+    """key, content, corner: a row for each corner and table, without those that the bitmap says
+    nobody wants."""
 
     def run(batches):
         for batch in batches:
             d0, d1 = (batch.column(c).to_numpy() for c in ("d0", "d1"))
-            keys = _keys(d0, d1, width).ravel()
-            at = np.repeat(np.arange(len(d0)), 8)
+            keys = _shuffled_keys(d0, d1, width)
+            at = np.repeat(np.arange(len(d0)), keys.shape[1])
+            keys = keys.ravel()
             if wanted is not None:
                 place = keys >> np.uint64(64 - BITMAP)
                 hit = (wanted.value[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
@@ -233,7 +256,7 @@ def _entries(corners: DataFrame, width: int, wanted=None) -> DataFrame:
 
 
 def _bitmap(entries: DataFrame) -> np.ndarray:
-    """Which of 2 ** BITMAP ranges of keys occur: 8 MB, whatever the input."""
+    """Which of 2 ** BITMAP ranges of keys occur: 16 MB, whatever the input."""
     place = F.shiftrightunsigned("key", 64 - BITMAP)
     words = (
         entries.groupBy(F.shiftright(place, 6).alias("word"))

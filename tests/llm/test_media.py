@@ -135,3 +135,31 @@ def test_links_do_not_depend_on_the_number_of_images(spark):
     links = lambda rows: {(r.q, r.s, r.votes) for r in media.class_links(spark.createDataFrame(asked, kind), spark.createDataFrame(rows, kind), 18, 4).collect()}
     few = links(stored)
     assert (1, 11, 6) in few and links(stored + others) == few
+
+
+def test_few_corners_meet_by_chance():
+    """400 pictures and 40 edited ones: of all pairs of corners that meet in a table most belong to
+    one picture, and nearly all near pairs of these meet."""
+    rng, stored, asked = np.random.default_rng(4), [], []
+    for i in range(400):
+        a = media._picture(rng, 80)
+        stored += [(i, *c[4:]) for c in media.corners_of(np.clip(a, 0, 255).astype(np.float32))]
+        if i % 10 == 0:
+            part = 0.8 * a[5:69, 9:73] + 30 + rng.normal(0, 3, (64, 64))
+            asked += [(i, *c[4:]) for c in media.corners_of(np.clip(part, 0, 255).astype(np.float32))]
+    (q, q0, q1), (s, s0, s1) = (np.array(x, np.int64).T for x in (asked, stored))
+    qk, sk = (media._shuffled_keys(a, b, media.WIDTH) for a, b in ((q0, q1), (s0, s1)))
+    assert qk.shape[1] == 8 * media.ORDERS
+    met = np.zeros((len(q), len(s)), bool)
+    for t in range(qk.shape[1]):
+        met |= qk[:, t, None] == sk[None, :, t]
+    far = sum(np.bitwise_count((a[:, None] ^ b[None]).view(np.uint64)).astype(int) for a, b in ((q0, s0), (q1, s1)))
+    own = q[:, None] == s[None]
+    owed = own & (far <= 18)
+    assert (met & ~own).sum() <= 0.02 * (met & own).sum()
+    assert (met & owed).sum() >= 0.85 * owed.sum()
+    early = np.zeros_like(met)  # eight windows of 32 bits in the order of the tests
+    for a, b in zip(media._keys(q0, q1, 32).T, media._keys(s0, s1, 32).T):
+        early |= a[:, None] == b[None]
+    assert (early & ~own).sum() > 10 * max(1, (met & ~own).sum())
+    assert (met & owed).sum() >= 0.99 * (early & owed).sum()
